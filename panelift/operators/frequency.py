@@ -48,19 +48,24 @@ def quantiles(
     by: Sequence[str] = (),
     slices: int | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: (by..., variable, q0, q1, ...).
+    """Exact quantiles with linear interpolation: (by..., variable, q0, q1, ..., distinct_count)."""
+    return quantiles_of_counts(value_counts(df, columns, by), probabilities, by, slices)
 
-    Distinct values are counted, range-partitioned in value order and given running counts;
-    the two order statistics around each wanted rank are then picked by an aggregation.
+
+def quantiles_of_counts(
+    counts: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), slices: int | None = None
+) -> DataFrame:
+    """Quantiles from (by..., variable, value, n).
+
+    Distinct values are range-partitioned in value order and given running counts; the two order
+    statistics around each wanted rank are then picked by an aggregation.
     """
     keys = [*by, "variable"]
-    sliced = slice_rows(value_counts(df, columns, by), ["value"], keys, slices)
+    sliced = slice_rows(counts, ["value"], keys, slices)
     running = sliced.scan(sums={"upto": "n"})
     totals = sliced.frame.groupBy(*keys).agg(F.sum("n").alias("total"))
-    if by:
-        placed = running.join(totals, keys)
-    else:
-        placed = running.join(F.broadcast(totals), keys)  # one row per column
+    # Without groups there is one total per column, which is small enough to broadcast.
+    placed = running.join(totals if by else F.broadcast(totals), keys)
     picks, finals = [], []
     for i, p in enumerate(probabilities):
         rank = F.lit(float(p)) * (F.col("total") - 1)
@@ -70,7 +75,10 @@ def quantiles(
         share = F.lit(float(p)) * (F.col("_total") - 1)
         part = share - F.floor(share)
         finals.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(f"q{i}"))
-    return placed.groupBy(*keys).agg(F.max("total").alias("_total"), *picks).select(*keys, *finals)
+    picked = placed.groupBy(*keys).agg(
+        F.max("total").alias("_total"), F.count(F.lit(1)).alias("distinct_count"), *picks
+    )
+    return picked.select(*keys, *finals, "distinct_count")
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
