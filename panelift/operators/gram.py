@@ -31,10 +31,11 @@ class Moments:
     n: float
     mean: np.ndarray
     cross: np.ndarray
+    total: float = 0.0
 
     def pick(self, wanted: Sequence[str]) -> "Moments":
         at = [self.names.index(c) for c in wanted]
-        return Moments(list(wanted), self.n, self.mean[at], self.cross[np.ix_(at, at)])
+        return Moments(list(wanted), self.n, self.mean[at], self.cross[np.ix_(at, at)], self.total)
 
     def minus(self, part: "Moments") -> "Moments":
         """The rows of self without the rows of ``part``."""
@@ -42,7 +43,7 @@ class Moments:
         mean = (self.n * self.mean - part.n * part.mean) / n
         gap = part.mean - mean
         cross = self.cross - part.cross - np.outer(gap, gap) * (n * part.n / self.n)
-        return Moments(self.names, n, mean, cross)
+        return Moments(self.names, n, mean, cross, self.total - part.total)
 
     def variance(self, ddof: int = 1) -> np.ndarray:
         return np.diag(self.cross) / (self.n - ddof)
@@ -56,24 +57,31 @@ class Moments:
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Listwise deletion on the used columns; NaN counts as missing."""
+    return df.filter(_present(df, columns))
+
+
+def _present(df: DataFrame, columns: Sequence[str]):
     typed = dict(df.dtypes)
-    keep = None
+    ok = F.lit(True)
     for c in columns:
-        ok = F.col(c).isNotNull()
+        ok = ok & F.col(c).isNotNull()
         if typed[c] in ("double", "float"):
             ok = ok & ~F.isnan(c)
-        keep = ok if keep is None else keep & ok
-    return df.filter(keep)
+    return ok
 
 
 def moments_frame(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """One row per group: (by..., n, mean array<double>, cross array<double> of k*k values)."""
+    """One row per group: (by..., total, n, mean array<double>, cross array<double> of k*k values).
+
+    ``n`` counts the complete rows that enter the moments, ``total`` all rows.
+    """
     names = list(columns)
     k = len(names)
     if k > SQL_WIDTH:
-        return _wide_moments(complete_rows(df, names), names, by)
-    used = complete_rows(df, names).select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
-    aggregates = [F.count(F.lit(1)).cast("double").alias("n")]
+        return _wide_moments(df, names, by)
+    ok = _present(df, names)
+    used = df.select(*by, ok.alias("_ok"), *[F.when(ok, F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(names)])
+    aggregates = [F.count(F.lit(1)).cast("double").alias("total"), F.count_if("_ok").cast("double").alias("n")]
     aggregates += [F.avg(f"_v{i}").alias(f"_m{i}") for i in range(k)]
     aggregates += [
         F.covar_pop(f"_v{i}", f"_v{j}").alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)
@@ -85,27 +93,27 @@ def moments_frame(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
         for j in range(k)
     ]
     means = [F.coalesce(F.col(f"_m{i}"), F.lit(0.0)) for i in range(k)]
-    return reduced.select(*by, "n", F.array(*means).alias("mean"), F.array(*cross).alias("cross"))
+    return reduced.select(*by, "total", "n", F.array(*means).alias("mean"), F.array(*cross).alias("cross"))
 
 
-def _merge(parts: Iterator[tuple[float, np.ndarray, np.ndarray]], k: int):
-    n, mean, cross = 0.0, np.zeros(k), np.zeros((k, k))
-    for pn, pm, pc in parts:
+def _merge(parts: Iterator[tuple[float, float, np.ndarray, np.ndarray]], k: int):
+    total, n, mean, cross = 0.0, 0.0, np.zeros(k), np.zeros((k, k))
+    for pt, pn, pm, pc in parts:
+        total += pt
         if pn == 0:
             continue
         gap = pm - mean
-        total = n + pn
-        cross = cross + pc + np.outer(gap, gap) * (n * pn / total)
-        mean = mean + gap * (pn / total)
-        n = total
-    return n, mean, cross
+        cross = cross + pc + np.outer(gap, gap) * (n * pn / (n + pn))
+        mean = mean + gap * (pn / (n + pn))
+        n += pn
+    return total, n, mean, cross
 
 
 def _wide_moments(df: DataFrame, names: list[str], by: Sequence[str]) -> DataFrame:
     k = len(names)
     by = list(by)
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"`{c}` {fields[c]}" for c in by], "_bucket int", "n double", "mean array<double>", "cross array<double>"])
+    schema = ", ".join([*[f"`{c}` {fields[c]}" for c in by], "_bucket int", "total double", "n double", "mean array<double>", "cross array<double>"])
     used = df.select(*by, *[F.col(c).cast("double").alias(c) for c in names], F.pmod(F.spark_partition_id(), F.lit(_MERGE_FAN)).alias("_bucket"))
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,10 +122,12 @@ def _wide_moments(df: DataFrame, names: list[str], by: Sequence[str]) -> DataFra
             groups = batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]
             for key, rows in groups:
                 x = rows[names].to_numpy(dtype=float)
-                m = x.mean(axis=0)
+                total = float(len(x))
+                x = x[~np.isnan(x).any(axis=1)]
+                m = x.mean(axis=0) if len(x) else np.zeros(k)
                 d = x - m
                 key = (*(key if isinstance(key, tuple) else (key,)), int(rows["_bucket"].iloc[0]))
-                part = (float(len(x)), m, d.T @ d)
+                part = (total, float(len(x)), m, d.T @ d)
                 held[key] = _merge(iter([held[key], part]), k) if key in held else part
             # Partial matrices are emitted early when many groups meet in one task.
             if len(held) * k * k > 16_000_000:
@@ -128,17 +138,18 @@ def _wide_moments(df: DataFrame, names: list[str], by: Sequence[str]) -> DataFra
 
     def _rows(held: dict[tuple, tuple]) -> pd.DataFrame:
         out = pd.DataFrame(list(held.keys()), columns=[*by, "_bucket"])
-        out["n"] = [v[0] for v in held.values()]
-        out["mean"] = [v[1].tolist() for v in held.values()]
-        out["cross"] = [v[2].ravel().tolist() for v in held.values()]
+        out["total"] = [v[0] for v in held.values()]
+        out["n"] = [v[1] for v in held.values()]
+        out["mean"] = [v[2].tolist() for v in held.values()]
+        out["cross"] = [v[3].ravel().tolist() for v in held.values()]
         return out
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = ((r.n, np.asarray(r.mean, float), np.asarray(r.cross, float).reshape(k, k)) for r in
+        parts = ((r.total, r.n, np.asarray(r.mean, float), np.asarray(r.cross, float).reshape(k, k)) for r in
                  rows.rename(columns={c: f"_b{i}" for i, c in enumerate(by)}).itertuples(index=False))
-        n, mean, cross = _merge(parts, k)
+        total, n, mean, cross = _merge(parts, k)
         out = rows.iloc[:1][[*by, "_bucket"]].copy()
-        out["n"], out["mean"], out["cross"] = n, [mean.tolist()], [cross.ravel().tolist()]
+        out["total"], out["n"], out["mean"], out["cross"] = total, n, [mean.tolist()], [cross.ravel().tolist()]
         return out
 
     first = used.mapInPandas(partials, schema).groupBy(*by, "_bucket").applyInPandas(merge, schema)
@@ -146,28 +157,28 @@ def _wide_moments(df: DataFrame, names: list[str], by: Sequence[str]) -> DataFra
     return second.drop("_bucket")
 
 
+def _from_row(names: list[str], r) -> Moments:
+    k = len(names)
+    return Moments(
+        names, float(r["n"]), np.asarray(r["mean"], float), np.asarray(r["cross"], float).reshape(k, k), float(r["total"])
+    )
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments of the whole table: one row of k + k*k numbers reaches the driver."""
     names = list(columns)
     rows = moments_frame(df, names).collect()
     k = len(names)
-    if not rows:
-        return Moments(names, 0.0, np.zeros(k), np.zeros((k, k)))
-    r = rows[0]
-    return Moments(names, float(r["n"]), np.asarray(r["mean"], float), np.asarray(r["cross"], float).reshape(k, k))
+    return _from_row(names, rows[0]) if rows else Moments(names, 0.0, np.zeros(k), np.zeros((k, k)))
 
 
 def moments_by(df: DataFrame, columns: Sequence[str], group: str, limit: int = 1000) -> dict[object, Moments]:
     """Moments per value of a column with few values (folds, splits); more than ``limit`` is refused."""
     names = list(columns)
-    k = len(names)
     rows = moments_frame(df, names, [group]).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{group!r} has more than {limit} values; solve per group on executors instead")
-    return {
-        r[group]: Moments(names, float(r["n"]), np.asarray(r["mean"], float), np.asarray(r["cross"], float).reshape(k, k))
-        for r in rows
-    }
+    return {r[group]: _from_row(names, r) for r in rows}
 
 
 @dataclass
