@@ -34,10 +34,11 @@ def parse_reports(texts: DataFrame) -> DataFrame:
 
 def report_sections(reports: DataFrame) -> DataFrame:
     """(file, model, section, content): one row per top-level section, content as JSON text."""
-    exploded = reports.select("file", "model", "document").lateralJoin(
-        reports.sparkSession.tvf.variant_explode(F.col("document").outer())
+    return reports.sparkSession.sql(
+        "select file, model, e.key as section, to_json(e.value) as content "
+        "from {reports}, lateral variant_explode(document) as e",
+        reports=reports,
     )
-    return exploded.select("file", "model", F.col("key").alias("section"), F.to_json("value").alias("content"))
 
 
 def combine_reports(reports: DataFrame) -> DataFrame:
