@@ -98,15 +98,15 @@ def inference_rows(fit: LinearFit) -> list[tuple]:
     errors = fit.standard_errors
     reach = t_quantile(1 - SIGNIFICANCE / 2, fit.df_resid) if fit.df_resid > 0 else float("nan")
     for term, b, se in zip(fit.terms, fit.coefficients, errors):
-        b = float(b)
+        b, se = float(b), float(se)
         if np.isnan(se):
             t = p = low = high = None
         else:
-            t = b / se if se > 0 else float("inf") * np.sign(b)
+            t = b / se if se > 0 else float("inf") * float(np.sign(b))
             p = t_two_sided(t, fit.df_resid)
             low, high = b - reach * se, b + reach * se
         rows.append(
-            (term, b, _number(se), None if t is None else float(t), p, low, high, p is not None and p < SIGNIFICANCE, stars(p),
+            (term, b, _number(se), t, p, low, high, p is not None and p < SIGNIFICANCE, stars(p),
              "positive_effect" if b > 0 else "negative_effect")
         )
     return rows

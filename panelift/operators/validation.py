@@ -160,7 +160,7 @@ def overall_risk(alerts: DataFrame, segment: Sequence[str] = ()) -> DataFrame:
     return counted.withColumn("risk", F.when(h >= 2, "high").when((h >= 1) | (m >= 2), "medium").otherwise("low"))
 
 
-def overfitting_risk(metrics: DataFrame, features: int, observations: Column) -> DataFrame:
+def overfitting_risk(metrics: DataFrame, features: int, observations: Column, segment: Sequence[str] = ()) -> DataFrame:
     """Risk of one model with its factors: (model, ..., risk, factors)."""
     d, r = F.col("r2_difference"), F.col("mae_ratio")
     suspicious = (F.col("train_r2") > 0.95) & (F.col("test_r2") < 0.7)
@@ -174,7 +174,7 @@ def overfitting_risk(metrics: DataFrame, features: int, observations: Column) ->
         )
     )
     return metrics.select(
-        "model", "train_r2", "test_r2", "r2_difference", "mae_ratio", "generalization", risk.alias("risk"),
+        *segment, "model", "train_r2", "test_r2", "r2_difference", "mae_ratio", "generalization", risk.alias("risk"),
         F.concat_ws(",", factors).alias("factors"), (F.lit(float(features)) / observations).alias("feature_ratio"),
     )
 
