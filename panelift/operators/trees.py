@@ -75,69 +75,74 @@ class Attribution:
 
     A leaf's contribution depends on a row only through which of the (few) features on its path
     agree with the path. For every leaf the attributions of all agreement patterns are worked out
-    once; a row then only needs its pattern, a sum of comparisons, and a table look-up.
+    once. A row is reduced to its bin per feature (its place among the thresholds in use), and a
+    leaf needs one look-up per feature for the pattern and one for the attributions.
     """
 
     def __init__(self, nodes: pd.DataFrame, weights: Sequence[float], width: int, normalize: bool = False):
+        if (nodes.loc[nodes["leftChild"] >= 0, "categories"] >= 0).any():
+            raise ValueError("categorical splits are not supported: encode categories as numbers")
         self.width = width
         self.base = 0.0
-        self.leaves: list[tuple[list[tuple[int, list[tuple]]], np.ndarray]] = []
+        inner = nodes[nodes["leftChild"] >= 0]
+        thresholds = inner["at"].map(lambda v: float(v[0]))
+        self.cuts = [np.unique(thresholds[inner["feature"] == f].to_numpy(dtype=float)) for f in range(width)]
+        self.leaves: list[tuple[list[tuple[int, np.ndarray]], np.ndarray]] = []
         total = sum(weights) if normalize else 1.0
         for tree, part in nodes.groupby("treeID"):
-            rows = part.set_index("id").to_dict("index")
-            self._walk(rows, 0, [], 1.0, float(weights[int(tree)]) / total)
+            self._walk(part.set_index("id").to_dict("index"), 0, [], 1.0, float(weights[int(tree)]) / total)
 
     def _walk(self, rows: dict, at: int, path: list[tuple], share: float, weight: float) -> None:
+        """``path`` holds (feature, bins that agree, share of training rows) per split."""
         node = rows[at]
         if node["leftChild"] < 0:
             self._leaf(path, share, float(node["prediction"]) * weight)
             return
-        cover = float(node["rawCount"])
-        for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
+        f, cover = int(node["feature"]), float(node["rawCount"])
+        cut = int(np.searchsorted(self.cuts[f], float(node["at"][0])))
+        low = np.arange(len(self.cuts[f]) + 1) <= cut
+        for child, agrees in ((int(node["leftChild"]), low), (int(node["rightChild"]), ~low)):
             part = float(rows[child]["rawCount"]) / cover if cover > 0 else 0.5
-            test = (int(node["feature"]), np.asarray(node["at"], float), int(node["categories"]), left, part)
-            self._walk(rows, int(child), [*path, test], share * part, weight)
+            self._walk(rows, child, [*path, (f, agrees, part)], share * part, weight)
 
     def _leaf(self, path: list[tuple], share: float, value: float) -> None:
         self.base += share * value
-        features = list(dict.fromkeys(t[0] for t in path))
+        features = list(dict.fromkeys(f for f, _, _ in path))
         if not features:
             return
-        tests = [[t[1:4] for t in path if t[0] == f] for f in features]
-        zero = [float(np.prod([t[4] for t in path if t[0] == f])) for f in features]
         d = len(features)
-        # One column per feature, one row per pattern of agreeing features.
-        table = np.zeros((1 << d, d))
+        zero = [float(np.prod([part for g, _, part in path if g == f])) for f in features]
+        lookups = [
+            (f, np.logical_and.reduce([agrees for g, agrees, _ in path if g == f]).astype(np.int64) << i)
+            for i, f in enumerate(features)
+        ]
+        table = np.zeros((d, 1 << d))  # attribution of feature i under each agreement pattern
         for pattern in range(1 << d):
             one = [float(pattern >> i & 1) for i in range(d)]
             for i in range(d):
-                rest = [j for j in range(d) if j != i]
                 # poly[s]: sum over coalitions of size s of the products of their members' fractions
                 poly = np.array([1.0])
-                for j in rest:
-                    poly = np.convolve(poly, [zero[j], one[j]])
+                for j in range(d):
+                    if j != i:
+                        poly = np.convolve(poly, [zero[j], one[j]])
                 weight = sum(poly[s] * factorial(s) * factorial(d - s - 1) for s in range(d)) / factorial(d)
-                table[pattern, i] = weight * (one[i] - zero[i]) * value
-        self.leaves.append((list(zip(features, tests)), table))
+                table[i, pattern] = weight * (one[i] - zero[i]) * value
+        self.leaves.append((lookups, table))
 
     def explain(self, x: np.ndarray) -> np.ndarray:
         """(rows, features) attributions; base + row sum equals the prediction."""
-        out = np.zeros((len(x), self.width))
-        known: dict[tuple, np.ndarray] = {}
-        for features, table in self.leaves:
-            pattern = np.zeros(len(x), dtype=np.int64)
-            for i, (f, tests) in enumerate(features):
-                agrees = np.ones(len(x), dtype=bool)
-                for at, categories, left in tests:
-                    key = (f, at.tobytes(), categories)
-                    if key not in known:
-                        known[key] = x[:, f] <= at[0] if categories < 0 else np.isin(x[:, f], at)
-                    agrees &= known[key] if left else ~known[key]
-                pattern |= agrees.astype(np.int64) << i
-            picked = table[pattern]
-            for i, (f, _) in enumerate(features):
-                out[:, f] += picked[:, i]
-        return out
+        bins = np.column_stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(self.cuts)])
+        # Rows in the same bins have the same attributions.
+        distinct, back = np.unique(bins, axis=0, return_inverse=True)
+        columns = np.ascontiguousarray(distinct.T)
+        out = np.zeros((self.width, len(distinct)))
+        for lookups, table in self.leaves:
+            pattern = lookups[0][1][columns[lookups[0][0]]]
+            for f, lookup in lookups[1:]:
+                pattern = pattern + lookup[columns[f]]
+            for i, (f, _) in enumerate(lookups):
+                out[f] += table[i][pattern]
+        return out.T[back.ravel()]
 
 
 def tree_shap(df: DataFrame, model, columns: Sequence[str], keep: Sequence[str], normalize: bool = False) -> DataFrame:

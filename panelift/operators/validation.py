@@ -179,27 +179,27 @@ def overfitting_risk(metrics: DataFrame, features: int, observations: Column, se
     )
 
 
-def permuted(df: DataFrame, column: str, key: str, seed: int = 42) -> DataFrame:
-    """The frame with one column shuffled: row i (by key) gets the value of row i (by hash of key)."""
+def with_permuted(df: DataFrame, columns: Sequence[str], key: str, seed: int = 42) -> DataFrame:
+    """Add _perm_{column}: row i (by key) also carries the values of row i by the hash of the key."""
     rows = slice_rows(df, [key]).numbered("_i")
-    shuffled = slice_rows(
-        df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_key"), F.col(column).alias("_value")), ["_h", "_key"]
-    ).numbered("_i")
-    swapped = rows.join(shuffled.select("_i", "_value"), "_i").withColumn(column, F.col("_value"))
-    return swapped.select(*df.columns)
+    values = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_key"), *[F.col(c).alias(f"_perm_{c}") for c in columns])
+    shuffled = slice_rows(values, ["_h", "_key"]).numbered("_i").select("_i", *[f"_perm_{c}" for c in columns])
+    return rows.join(shuffled, "_i").select(*df.columns, *[f"_perm_{c}" for c in columns])
 
 
 def importance_permutation(df: DataFrame, actual: str, features: Sequence[str], key: str, score, seed: int = 42) -> DataFrame:
-    """Drop of R2 after shuffling each feature; ``score(frame)`` adds the column 'prediction'."""
-    def r2(frame: DataFrame) -> DataFrame:
-        scored = score(frame)
+    """Drop of R2 after shuffling each feature; ``score(frame)`` adds the column 'prediction'.
+
+    ``key`` must be unique. One deterministic shuffle serves all features, each scored on its own.
+    """
+    rows = spill(with_permuted(df.select(*dict.fromkeys([key, actual, *features])), features, key, seed), "permuted")
+
+    def r2(frame: DataFrame) -> float:
         e = F.col(actual) - F.col("prediction")
-        return scored.agg((1 - F.try_divide(F.avg(e * e), F.var_pop(actual))).alias("r2"))
+        return score(frame).agg(1 - F.try_divide(F.avg(e * e), F.var_pop(actual))).first()[0]
 
-    base = r2(df).first()["r2"]
-    rows = []
-    for i, c in enumerate(features):
-        rows.append((c, base - r2(permuted(df, c, key, seed + i)).first()["r2"]))
-    table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
+    base = r2(rows)
+    drops = [(c, base - r2(rows.withColumn(c, F.col(f"_perm_{c}")))) for c in features]
+    table = df.sparkSession.createDataFrame(drops, "feature string, importance double")
     # One row per feature.
     return table.withColumn("importance_rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
