@@ -8,48 +8,34 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelift.operators.gram import moments
+from panelift.operators.gram import moments, pair_sums
 
-PAIRS_PER_SCAN = 90
 TIDY = "i int, j int, var_i string, var_j string, corr double, pairs long"
 
 
 def correlation_values(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(correlations, pair counts), each pair over the rows where both values are present.
 
-    A table without gaps is one pass of moments. With gaps every pair needs its own masked
-    moments, taken as SQL aggregates in blocks of pairs.
+    A table without gaps needs the plain moments; with gaps every pair gets its own masked sums.
     """
     names = list(columns)
     k = len(names)
-    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    if all(counts[f"c{i}"] == counts["_n"] for i in range(k)):
+    level = df.agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count(c).alias(f"c{i}") for i, c in enumerate(names)],
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
+    ).first()
+    if all(level[f"c{i}"] == level["_n"] for i in range(k)):
         m = moments(df, names)
-        corr = m.correlation()
-        n = np.full((k, k), int(m.n))
-    else:
-        corr, n = np.full((k, k), np.nan), np.zeros((k, k), dtype=int)
-        used = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        for start in range(0, len(pairs), PAIRS_PER_SCAN):
-            block = pairs[start : start + PAIRS_PER_SCAN]
-            aggregates = []
-            for i, j in block:
-                x, y = F.col(f"v{i}"), F.col(f"v{j}")
-                both = x.isNotNull() & y.isNotNull()
-                aggregates += [
-                    F.count_if(both).alias(f"n{i}_{j}"),
-                    F.covar_pop(x, y).alias(f"c{i}_{j}"),
-                    F.var_pop(F.when(both, x)).alias(f"x{i}_{j}"),
-                    F.var_pop(F.when(both, y)).alias(f"y{i}_{j}"),
-                ]
-            r = used.agg(*aggregates).first()
-            for i, j in block:
-                n[i, j] = n[j, i] = r[f"n{i}_{j}"]
-                spread = (r[f"x{i}_{j}"] or 0.0) * (r[f"y{i}_{j}"] or 0.0)
-                if spread > 0 and n[i, j] > 1:
-                    corr[i, j] = corr[j, i] = r[f"c{i}_{j}"] / spread**0.5
-    return np.clip(corr, -1.0, 1.0), n
+        return np.clip(m.correlation(), -1.0, 1.0), np.full((k, k), int(m.n))
+    s = pair_sums(df, names, [level[f"m{i}"] or 0.0 for i in range(k)])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        covariance = s["xy"] - s["x"] * s["x"].T / s["n"]
+        spread = s["xx"] - s["x"] ** 2 / s["n"]
+        # Rounding leaves a trace of spread in a constant column; it has no correlation.
+        spread = np.where(spread > 1e-12 * s["xx"], spread, np.nan)
+        corr = covariance / np.sqrt(spread * spread.T)
+    return np.clip(corr, -1.0, 1.0), s["n"].astype(int)
 
 
 def tidy(spark, names: Sequence[str], corr: np.ndarray, n: np.ndarray) -> DataFrame:

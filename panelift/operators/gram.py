@@ -157,6 +157,40 @@ def _wide_moments(df: DataFrame, names: list[str], by: Sequence[str]) -> DataFra
     return second.drop("_bucket")
 
 
+def pair_sums(df: DataFrame, columns: Sequence[str], shift: Sequence[float]) -> dict[str, np.ndarray]:
+    """Sums over the rows where both columns of a pair are present, for every pair, in one pass.
+
+    ``n`` counts, ``x`` sums the first column, ``xx`` its squares, ``xy`` the products, all about
+    ``shift``. Each partition adds up k x k matrices; they are merged in two levels.
+    """
+    names = list(columns)
+    k = len(names)
+    centre = np.asarray(shift, float)
+    used = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)], F.pmod(F.spark_partition_id(), F.lit(_MERGE_FAN)).alias("_bucket"))
+    schema = "_bucket int, sums array<double>"
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, bucket = np.zeros((4, k, k)), 0
+        for batch in batches:
+            x = batch[[f"_v{i}" for i in range(k)]].to_numpy(dtype=float) - centre
+            seen = ~np.isnan(x)
+            mask, value = seen.astype(float), np.where(seen, x, 0.0)
+            total += np.stack([mask.T @ mask, value.T @ mask, (value * value).T @ mask, value.T @ value])
+            bucket = int(batch["_bucket"].iloc[0]) if len(batch) else bucket
+        yield pd.DataFrame({"_bucket": [bucket], "sums": [total.ravel().tolist()]})
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(4 * k * k)
+        for values in part["sums"]:
+            total += np.asarray(values, float)
+        return pd.DataFrame({"_bucket": [0], "sums": [total.tolist()]})
+
+    first = used.mapInPandas(partial, schema).groupBy("_bucket").applyInPandas(merge, schema)
+    rows = first.withColumn("_bucket", F.lit(0)).groupBy("_bucket").applyInPandas(merge, schema).collect()
+    total = np.asarray(rows[0]["sums"], float).reshape(4, k, k) if rows else np.zeros((4, k, k))
+    return dict(zip(("n", "x", "xx", "xy"), total))
+
+
 def _from_row(names: list[str], r) -> Moments:
     k = len(names)
     return Moments(

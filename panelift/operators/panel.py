@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelift.functions.calendar import week_calendar
 from panelift.functions.columns import safe_name
+from panelift.session import spill
 
 BRAND_LIMIT = 1000  # every brand becomes columns
 
@@ -49,16 +50,16 @@ def brand_pivot(
     brand: str = "brand",
 ) -> DataFrame:
     """One set of {brand}_{metric} columns per brand; combinations that never occur are 0."""
-    base = monthly_totals(df, sums, keys=[*keys, brand])
-    return base.filter(F.col(brand).isin(list(brands))).groupBy(*keys).agg(*_brand_columns(brands, sums, brand))
-
-
-def _brand_columns(brands: Sequence[str], metrics: Sequence[str] | Mapping[str, str], brand: str) -> list[Column]:
-    return [
-        F.coalesce(F.sum(F.when(F.col(brand) == b, F.col(m))), F.lit(0)).alias(f"{safe_name(b)}_{m}")
-        for b in brands
-        for m in metrics
-    ]
+    present = df.na.drop(subset=list(keys)).filter(F.col(brand).isin(list(brands)))
+    wide = present.groupBy(*keys).pivot(brand, list(brands)).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
+    one = len(sums) == 1
+    names = [f"{safe_name(b)}_{m}" for b in brands for m in sums]
+    if len(set(names)) < len(names):
+        raise ValueError("two brands share a column name; recode them first")
+    expected = [b if one else f"{b}_{m}" for b in brands for m in sums]
+    if wide.columns != [*keys, *expected]:
+        raise ValueError(f"unexpected pivot columns {wide.columns}")
+    return wide.toDF(*keys, *names).na.fill(0)
 
 
 def monthly_wide(
@@ -72,16 +73,23 @@ def monthly_wide(
 ) -> DataFrame:
     """Client, competitor and per-brand monthly metrics from one pass over the activity table.
 
-    The rows are first reduced to (key, brand); everything else is read off that small table.
+    The rows are first reduced to (key, brand) and that small table is stored; everything else is
+    read off it.
     """
     aggregates = [F.coalesce(F.sum(c), F.lit(0)).alias(o) for o, c in sums.items()]
     aggregates += [F.count(c).alias(o) for o, c in counts.items()]
-    base = ads.na.drop(subset=list(keys)).groupBy(*keys, brand).agg(*aggregates)
+    base = spill(ads.na.drop(subset=list(keys)).groupBy(*keys, brand).agg(*aggregates), "monthly")
     mine = F.col(brand).eqNullSafe(F.lit(client))
-    metrics = [*sums, *counts]
-    columns = [F.coalesce(F.sum(F.when(mine, F.col(m))), F.lit(0)).alias(f"client_{m}") for m in metrics]
-    columns += [F.coalesce(F.sum(F.when(~mine, F.col(m))), F.lit(0)).alias(f"competitor_{m}") for m in metrics]
-    return base.groupBy(*keys).agg(*columns, *_brand_columns(brands, sums, brand))
+    sided = [
+        F.coalesce(F.sum(F.when(test, F.col(m))), F.lit(0)).alias(f"{side}_{m}")
+        for side, test in (("client", mine), ("competitor", ~mine))
+        for m in [*sums, *counts]
+    ]
+    totals = base.groupBy(*keys).agg(*sided)
+    if not brands:
+        return totals
+    per_brand = brand_pivot(base, brands, {m: m for m in sums}, keys, brand)
+    return totals.join(per_brand, list(keys), "left").na.fill(0)
 
 
 def monthly_to_weekly(
@@ -100,7 +108,9 @@ def monthly_to_weekly(
     keys = [month, year] if year in monthly.columns else [month]
     calendar = calendar.withColumnRenamed("month", month).withColumnRenamed("year", year)
     spread = monthly.join(calendar, keys)
-    return spread.withColumns({m: F.col(m) / F.col("weeks_in_month") for m in metrics}).drop(month, "weeks_in_month")
+    split = set(metrics)
+    kept = [c for c in spread.columns if c not in (month, "weeks_in_month")]
+    return spread.selectExpr(*[f"`{c}` / weeks_in_month as `{c}`" if c in split else f"`{c}`" for c in kept])
 
 
 def keep_known(df: DataFrame, known: DataFrame, keys: Sequence[str] = ("city",)) -> DataFrame:

@@ -112,7 +112,7 @@ class VarStatistics:
             key = [rows[c].iloc[0] for c in unit]
             return emit(key, found)
 
-        grouped = self.grams.groupBy(*unit) if unit else self.grams.groupBy(F.lit(0))
+        grouped = self.grams.groupBy(*unit) if unit else self.grams.withColumn("_all", F.lit(0)).groupBy("_all")
         return grouped.applyInPandas(solve, schema)
 
     def coefficients(self, order: int | None = None) -> DataFrame:
@@ -325,7 +325,7 @@ class _LaggedStatistics:
             out["_beta"] = [beta]
             return out
 
-        grouped = self.grams.groupBy(*unit) if unit else self.grams.groupBy(F.lit(0))
+        grouped = self.grams.groupBy(*unit) if unit else self.grams.withColumn("_all", F.lit(0)).groupBy("_all")
         return grouped.applyInPandas(solve, schema)
 
 

@@ -146,9 +146,11 @@ class Attribution:
 
 
 def tree_shap(df: DataFrame, model, columns: Sequence[str], keep: Sequence[str], normalize: bool = False) -> DataFrame:
-    """Long (keep..., feature, feature_value, contribution, base_value), one row per input row and feature.
+    """Long form, one row per input row and feature: (keep..., base_value, feature, feature_value,
+    contribution, position, running_total).
 
-    The model's node table is bounded by its size and broadcast with the function.
+    ``position`` ranks a row's contributions by size, ``running_total`` adds them up in that order
+    from the base value. The model's node table is bounded by its size and broadcast with the function.
     """
     spark = df.sparkSession
     nodes, weights = tree_nodes(spark, model)
@@ -156,23 +158,30 @@ def tree_shap(df: DataFrame, model, columns: Sequence[str], keep: Sequence[str],
     explainer = spark.sparkContext.broadcast(Attribution(nodes, weights, len(names), normalize))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     slim = df.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "_x array<double>", "_phi array<double>", "base_value double"])
+    parts = ["_x array<double>", "_phi array<double>", "_position array<int>", "_total array<double>", "base_value double"]
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *parts])
+    by_name = np.argsort(np.argsort(names))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model_view = explainer.value
+        view = explainer.value
         for batch in batches:
             x = batch[[f"_x{i}" for i in range(len(names))]].to_numpy(dtype=float)
+            phi = view.explain(x)
+            order = np.lexsort((np.broadcast_to(by_name, phi.shape), -np.abs(phi)), axis=1)
+            position, total = np.empty(order.shape, dtype=np.int32), np.empty(phi.shape)
+            np.put_along_axis(position, order, np.arange(1, len(names) + 1, dtype=np.int32)[None, :], axis=1)
+            np.put_along_axis(total, order, view.base + np.cumsum(np.take_along_axis(phi, order, axis=1), axis=1), axis=1)
             out = batch[list(keep)].copy()
-            out["_x"], out["_phi"] = list(x), list(model_view.explain(x))
-            out["base_value"] = model_view.base
+            out["_x"], out["_phi"], out["_position"], out["_total"] = list(x), list(phi), list(position), list(total)
+            out["base_value"] = view.base
             yield out
 
     wide = slim.mapInPandas(explain, schema)
-    long = wide.select(
-        *keep, "base_value",
-        F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in names]).alias("feature"), F.col("_x").alias("feature_value"), F.col("_phi").alias("contribution"))).alias("_e"),
+    entries = F.arrays_zip(
+        F.array(*[F.lit(c) for c in names]).alias("feature"), F.col("_x").alias("feature_value"), F.col("_phi").alias("contribution"),
+        F.col("_position").alias("position"), F.col("_total").alias("running_total"),
     )
-    return long.select(*keep, F.col("_e.feature").alias("feature"), F.col("_e.feature_value").alias("feature_value"), F.col("_e.contribution").alias("contribution"), "base_value")
+    return wide.select(*keep, "base_value", F.inline(entries))
 
 
 def shap_importance(long: DataFrame) -> DataFrame:
@@ -195,17 +204,9 @@ def shap_importance(long: DataFrame) -> DataFrame:
 
 
 def shap_waterfall(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per row: contributions by falling size with the running total from the base value.
-
-    Each window holds one row's features only.
-    """
-    order = Window.partitionBy(*keys).orderBy(F.desc(F.abs("contribution")), "feature")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return long.select(
-        *keys, F.row_number().over(order).alias("position"), "feature", "contribution",
-        (F.col("base_value") + F.sum("contribution").over(upto)).alias("running_total"),
-        F.when(F.col("contribution") > 0, "positive").otherwise("negative").alias("kind"),
-    )
+    """Per row: contributions by falling size with the running total from the base value."""
+    kind = F.when(F.col("contribution") > 0, "positive").otherwise("negative")
+    return long.select(*keys, "position", "feature", "contribution", "running_total", kind.alias("kind"))
 
 
 def importance_tree(spark, model, features: Sequence[str]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,8 +36,8 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Round columns; without names, all doubles."""
-    names = columns or [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(c, digits) for c in names})
+    names = set(columns or [c for c, t in df.dtypes if t == "double"])
+    return df.selectExpr(*[f"round(`{c}`, {digits}) as `{c}`" if c in names else f"`{c}`" for c in df.columns])
 
 
 def rd(expression: str, digits: int, name: str | None = None) -> str:

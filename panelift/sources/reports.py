@@ -32,10 +32,11 @@ def parse_reports(texts: DataFrame) -> DataFrame:
     return parsed.select("file", model.alias("model"), "document")
 
 
-def report_sections(reports: DataFrame) -> DataFrame:
-    """(file, model, section, content): one row per top-level section, content as JSON text."""
+def report_sections(reports: DataFrame, *keep: str) -> DataFrame:
+    """(file, model, keep..., section, content): one row per top-level section, content as JSON text."""
+    extra = "".join(f", {c}" for c in keep)
     return reports.sparkSession.sql(
-        "select file, model, e.key as section, to_json(e.value) as content "
+        f"select file, model{extra}, e.key as section, to_json(e.value) as content "
         "from {reports}, lateral variant_explode(document) as e",
         reports=reports,
     )
@@ -50,11 +51,12 @@ def combine_reports(reports: DataFrame) -> DataFrame:
     per_model = reports.groupBy("model").agg(F.max("file").alias("file"), F.min("file").alias("_first"))
     # The first model is the one whose earliest file comes first; one small aggregate row.
     lead = per_model.agg(F.min_by("file", "_first").alias("file")).withColumn("_lead", F.lit(True))
-    sections = report_sections(reports).join(per_model.select("model", "file"), ["model", "file"], "left_semi")
+    winners = per_model.select("model", "file").join(F.broadcast(lead), "file", "left")
+    # Losing files are dropped before their documents are opened up.
+    sections = report_sections(reports.join(winners, ["model", "file"]), "_lead")
     common = F.col("section").isin(*COMMON_SECTIONS)
-    own = sections.filter(~common).select("model", "section", "content")
-    shared = sections.filter(common).join(F.broadcast(lead), "file", "left_semi").select(F.lit(None).cast("string").alias("model"), "section", "content")
-    return own.unionByName(shared)
+    kept = sections.filter(~common | F.coalesce("_lead", F.lit(False)))
+    return kept.select(F.when(~common, F.col("model")).alias("model"), "section", "content")
 
 
 def report_summary(combined: DataFrame) -> DataFrame:
