@@ -53,15 +53,19 @@ def quantiles(
 
 
 def quantiles_of_counts(
-    counts: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), slices: int | None = None
+    counts: DataFrame,
+    probabilities: Sequence[float],
+    by: Sequence[str] = (),
+    slices: int | None = None,
+    order: Sequence[str] = ("value",),
 ) -> DataFrame:
-    """Quantiles from (by..., variable, value, n).
+    """Quantiles from (by..., variable, value, n), the values ranked by ``order``.
 
     Distinct values are range-partitioned in value order and given running counts; the two order
     statistics around each wanted rank are then picked by an aggregation.
     """
     keys = [*by, "variable"]
-    sliced = slice_rows(counts, ["value"], keys, slices)
+    sliced = slice_rows(counts, list(order), keys, slices)
     running = sliced.scan(sums={"upto": "n"})
     totals = sliced.frame.groupBy(*keys).agg(F.sum("n").alias("total"))
     # Without groups there is one total per column, which is small enough to broadcast.
@@ -81,10 +85,55 @@ def quantiles_of_counts(
     return picked.select(*keys, *finals, "distinct_count")
 
 
-def quantile_map(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
-    """Quantiles as numbers on the driver: one row per column."""
-    rows = quantiles(df, columns, probabilities).collect()
-    return {r["variable"]: [r[f"q{i}"] for i in range(len(probabilities))] for r in rows}
+SKETCH_ACCURACY = 10_000
+
+
+def quantile_map(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], slices: int | None = None
+) -> dict[str, list[float]]:
+    """Exact quantiles as numbers on the driver: {column: [value per probability]}, without empty columns.
+
+    An approximate sketch first brackets every wanted rank. Values outside the brackets are only
+    counted per gap, so a few thousandths of the rows are shuffled. A rank that should fall
+    outside its bracket after all sends its column to the full method.
+    """
+    names, margin = list(columns), 2.0 / SKETCH_ACCURACY
+    edges = [e for p in probabilities for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    sketch = typed.agg(*[F.percentile_approx(c, edges, SKETCH_ACCURACY).alias(f"s{i}") for i, c in enumerate(names)]).first()
+    entries = []
+    for i, c in enumerate(names):
+        found = sketch[f"s{i}"]
+        if found is None:
+            continue
+        segment, value, place = F.lit(0), F.lit(None).cast("double"), 0
+        for low, high in _merged(list(zip(found[::2], found[1::2]))):
+            inside = (F.col(c) >= F.lit(low)) & (F.col(c) <= F.lit(high))
+            segment = F.when(F.col(c) > F.lit(high), place + 2).when(inside, place + 1).otherwise(segment)
+            value = F.when(inside, F.col(c)).otherwise(value)
+            place += 2
+        entries.append(F.struct(F.lit(c).alias("variable"), F.when(F.col(c).isNotNull(), segment).alias("segment"), value.alias("value")))
+    if not entries:
+        return {}
+    long = typed.select(F.inline(F.array(*entries))).filter("segment is not null")
+    counts = long.groupBy("variable", "segment", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = {r["variable"]: r for r in quantiles_of_counts(counts, probabilities, slices=slices, order=("segment", "value")).collect()}
+    out = {c: [r[f"q{i}"] for i in range(len(probabilities))] for c, r in rows.items()}
+    open_columns = [c for c, values in out.items() if any(v is None for v in values)]
+    if open_columns:
+        full = quantiles(df, open_columns, probabilities, slices=slices).collect()
+        out |= {r["variable"]: [r[f"q{i}"] for i in range(len(probabilities))] for r in full}
+    return out
+
+
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(brackets):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
 
 
 def top_values(df: DataFrame, columns: Sequence[str], limit: int = 10) -> DataFrame:

@@ -5,8 +5,9 @@ Rows are range-partitioned on (unit, order), sorted inside each partition and nu
 A unit that is larger than one slice simply continues in the next one, so a unit that holds
 a third of all rows is still spread evenly. Two mechanisms join the slices again:
 
-* carry: one summary per (slice, unit), prefix-combined; only units that cross a slice border
-  need it, so the carried table has at most two rows per slice and is broadcast.
+* carry: summaries of the units that cross a slice border, prefix-combined. A slice has at most
+  two such units (its first and its last), so the carried table is small and is broadcast; when
+  no unit crosses a border there is nothing to carry.
 * context: the last k rows before a slice are copied into it, so bounded frames
   (lag, lead, moving windows) see their neighbours.
 """
@@ -32,6 +33,10 @@ def order_columns(order_by: Sequence[str]) -> list[Column]:
     ]
 
 
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
+
 class Sliced:
     """A frame cut into ordered slices; build it with :func:`slice_rows`."""
 
@@ -49,6 +54,31 @@ class Sliced:
     def row_count(self) -> int:
         return sum(n for _, n in self.sizes)
 
+    def _crossing(self) -> DataFrame | None:
+        """(slice, unit) pairs whose unit goes on in the next slice or comes from the one before.
+
+        Read off the first and last row of each slice; None when no unit crosses a border.
+        """
+        if not hasattr(self, "_pairs"):
+            ends = {}
+            if self.unit and len(self.sizes) > 1:
+                wanted = [(s, (s << _SHIFT) + at) for s, n in self.sizes for at in {0, n - 1}]
+                places = self.spark.createDataFrame(wanted, "_s int, _pos long")
+                rows = self.frame.join(F.broadcast(places), "_pos").select("_slice", "_pos", *self.unit).collect()
+                for r in rows:
+                    ends[r["_pos"]] = tuple(r[c] for c in self.unit)
+            pairs = set()
+            for (a, n), (b, _) in zip(self.sizes, self.sizes[1:]):
+                left, right = ends.get((a << _SHIFT) + n - 1, ()), ends.get(b << _SHIFT, ())
+                if all(x == y or (x != x and y != y) for x, y in zip(left, right)):
+                    pairs |= {(a, left), (b, right)}
+            self._pairs = [(s, *u) for s, u in pairs]
+        if not self._pairs:
+            return None
+        kinds = {f.name: f.dataType.simpleString() for f in self.frame.schema.fields}
+        schema = ", ".join(["_k__slice int", *[f"`_k_{c}` {kinds[c]}" for c in self.unit]])
+        return self.spark.createDataFrame(self._pairs, schema)
+
     def numbered(self, name: str = "_row") -> DataFrame:
         """Contiguous 0-based row number over the whole order (slice offset + position)."""
         rows, before = [], 0
@@ -94,18 +124,19 @@ class Sliced:
         summary += [F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
         summary += [F.max_by(c, F.when(F.col(c).isNotNull(), pos)).alias(f"_l_{o}") for o, c in last.items()]
         summary += [F.min_by(c, F.when(F.col(c).isNotNull(), pos)).alias(f"_f_{o}") for o, c in following.items()]
-        per_slice = frame.groupBy(*keys).agg(*summary)
-
-        unit_keys = self.unit or [F.lit(0)]
-        ahead = Window.partitionBy(*unit_keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        behind = Window.partitionBy(*unit_keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried = [F.sum("_n").over(ahead).alias("_c_n"), F.sum("_n").over(behind).alias("_c_after")]
-        carried += [F.sum(f"_s_{o}").over(ahead).alias(f"_c_s_{o}") for o in sums]
-        carried += [F.last(f"_l_{o}", ignorenulls=True).over(ahead).alias(f"_c_l_{o}") for o in last]
-        carried += [F.last(f"_f_{o}", ignorenulls=True).over(behind).alias(f"_c_f_{o}") for o in following]
-        # Only units crossing a slice border survive: at most two rows per slice.
-        carry = per_slice.select(*keys, *carried).filter("_c_n is not null or _c_after is not null")
-        carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in carry.columns if c.startswith("_c_")])
+        crossing = self._crossing()
+        carry = None
+        if crossing is not None:
+            borders = frame.join(F.broadcast(crossing), _same(keys, "_k_"), "left_semi")
+            per_slice = borders.groupBy(*keys).agg(*summary)
+            unit_keys = self.unit or [F.lit(0)]
+            ahead = Window.partitionBy(*unit_keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+            behind = Window.partitionBy(*unit_keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+            carried = [F.sum("_n").over(ahead).alias("_c_n")]
+            carried += [F.sum(f"_s_{o}").over(ahead).alias(f"_c_s_{o}") for o in sums]
+            carried += [F.last(f"_l_{o}", ignorenulls=True).over(ahead).alias(f"_c_l_{o}") for o in last]
+            carried += [F.last(f"_f_{o}", ignorenulls=True).over(behind).alias(f"_c_f_{o}") for o in following]
+            carry = per_slice.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *carried)
 
         forward, backward = self.windows()
         upto = forward.rowsBetween(Window.unboundedPreceding, 0)
@@ -116,19 +147,21 @@ class Sliced:
         local += [F.sum(c).over(upto).alias(f"_t_s_{o}") for o, c in sums.items()]
         local += [F.last(c, ignorenulls=True).over(upto).alias(f"_t_l_{o}") for o, c in last.items()]
         local += [F.last(c, ignorenulls=True).over(downto).alias(f"_t_f_{o}") for o, c in following.items()]
-        condition = reduce(
-            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        )
-        joined = frame.select("*", *local).join(F.broadcast(carry), condition, "left")
+        joined = frame.select("*", *local)
+        if carry is not None:
+            # At most two rows per slice.
+            joined = joined.join(F.broadcast(carry), _same(keys, "_k_"), "left")
+        # Zero and missing carries where nothing crosses.
+        plus = lambda name: F.coalesce(F.col(name), F.lit(0)) if carry is not None else F.lit(0)
+        also = lambda name: [name] if carry is not None else []
 
         added = []
         if number:
-            added.append((F.col("_t_n") + F.coalesce("_c_n", F.lit(0))).alias(number))
+            added.append((F.col("_t_n") + plus("_c_n")).alias(number))
         for o in sums:
-            total = F.coalesce(F.col(f"_t_s_{o}"), F.lit(0)) + F.coalesce(F.col(f"_c_s_{o}"), F.lit(0))
-            added.append(total.alias(o))
-        added += [F.coalesce(f"_t_l_{o}", f"_c_l_{o}").alias(o) for o in last]
-        added += [F.coalesce(f"_t_f_{o}", f"_c_f_{o}").alias(o) for o in following]
+            added.append((F.coalesce(F.col(f"_t_s_{o}"), F.lit(0)) + plus(f"_c_s_{o}")).alias(o))
+        added += [F.coalesce(f"_t_l_{o}", *also(f"_c_l_{o}")).alias(o) for o in last]
+        added += [F.coalesce(f"_t_f_{o}", *also(f"_c_f_{o}")).alias(o) for o in following]
         replaced = {number, *sums, *last, *following}
         return joined.select(*[c for c in frame.columns if c not in replaced], *added)
 

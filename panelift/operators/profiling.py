@@ -53,8 +53,8 @@ def describe_full(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for c in columns
         },
     )
-    middle = quantiles(df, columns, [0.25, 0.5, 0.75]).drop("distinct_count")
-    named = middle.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
+    middle = [(c, *q) for c, q in quantile_map(df, columns, [0.25, 0.5, 0.75]).items()]
+    named = df.sparkSession.createDataFrame(middle, "variable string, q25 double, q50 double, q75 double")
     return basics.join(named, "variable", "left").select("variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 

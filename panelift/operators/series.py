@@ -232,13 +232,20 @@ def moving_average(matrices: Sequence[np.ndarray], m: int, steps: int) -> list[n
     return effects
 
 
-def var_importance(coefficients: DataFrame, unit: Sequence[str] = ()) -> DataFrame:
-    """Sum of absolute lag coefficients of each variable over all equations."""
-    lagged = coefficients.filter(F.col("term") != "const")
+def var_importance(coefficients: DataFrame, variables: Sequence[str], unit: Sequence[str] = ()) -> DataFrame:
+    """Sum of absolute lag coefficients of each variable over all equations; 0 when no lag was chosen."""
     variable = F.regexp_replace("term", r"\.L\d+$", "")
-    return lagged.groupBy(*unit, variable.alias("variable")).agg(
-        F.sum(F.abs("coefficient")).alias("total_magnitude"), F.count_distinct("equation").alias("equations")
-    )
+    mine = lambda v: (F.col("term") != "const") & (variable == v)
+    structs = [
+        F.struct(
+            F.lit(v).alias("variable"),
+            F.coalesce(F.sum(F.when(mine(v), F.abs("coefficient"))), F.lit(0.0)).alias("total_magnitude"),
+            F.count_distinct(F.when(mine(v), F.col("equation"))).alias("equations"),
+        ).alias(f"_v{i}")
+        for i, v in enumerate(variables)
+    ]
+    packed = coefficients.groupBy(*unit).agg(*structs)
+    return packed.select(*unit, F.inline(F.array(*[f"_v{i}" for i in range(len(structs))])))
 
 
 def ar_impact(

@@ -259,7 +259,7 @@ def _var_diagnostics(t: Tables):
 @query("var_importance")
 def _var_importance(t: Tables):
     stats = series.VarStatistics(hourly(t), ["value", "n"], ["hour"], ["event_type"])
-    return series.var_importance(stats.coefficients(), ["event_type"])
+    return series.var_importance(stats.coefficients(), ["value", "n"], ["event_type"])
 
 
 AR1 = f"""{HOURLY}, l as (select *, lag(value) over (partition by event_type order by hour) as v1 from hourly),

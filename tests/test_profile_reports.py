@@ -25,6 +25,15 @@ def test_quantiles_with_a_heavy_value(spark):
     assert whole == pytest.approx(p["v"].quantile(probabilities).tolist())
 
 
+def test_ranks_outside_their_bracket_are_still_exact(spark, monkeypatch):
+    """With a sketch too coarse to be trusted, the full method takes over."""
+    df = spark.range(20000).select(((F.col("id") * 7919) % 20011).cast("double").alias("v"), F.lit(None).cast("double").alias("empty"))
+    want = df.toPandas()["v"].quantile([0.1, 0.5, 0.99]).tolist()
+    assert frequency.quantile_map(df, ["v", "empty"], [0.1, 0.5, 0.99]) == {"v": pytest.approx(want)}
+    monkeypatch.setattr(frequency, "_merged", lambda brackets: [(-2.0, -1.0)])
+    assert frequency.quantile_map(df, ["v"], [0.1, 0.5, 0.99]) == {"v": pytest.approx(want)}
+
+
 def test_top_values_plan_limits_before_the_shuffle(spark):
     df = spark.createDataFrame([("x", "y")], "a string, b string")
     plan = frequency.top_values(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
