@@ -68,8 +68,7 @@ def quantiles_of_counts(
     sliced = slice_rows(counts, list(order), keys, slices)
     running = sliced.scan(sums={"upto": "n"})
     totals = sliced.frame.groupBy(*keys).agg(F.sum("n").alias("total"))
-    # Without groups there is one total per column, which is small enough to broadcast.
-    placed = running.join(totals if by else F.broadcast(totals), keys)
+    placed = sliced.attach(running, totals)
     picks, finals = [], []
     for i, p in enumerate(probabilities):
         rank = F.lit(float(p)) * (F.col("total") - 1)

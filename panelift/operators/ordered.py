@@ -205,6 +205,29 @@ class Sliced:
         ]
         return framed.select("*", *added).filter("_own").drop("_own")
 
+    def attach(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+        """Join a table with one row per unit onto rows of these slices (inner or left).
+
+        Units that cross a slice border, the only ones that can be larger than a slice, are at most
+        one per border: their table rows are broadcast. All other units fit a slice and are joined
+        by an ordinary shuffle, so no task gets more than a slice of one unit.
+        """
+        if not self.unit:
+            keyed = table.withColumn("_one", F.lit(1))
+            return rows.withColumn("_one", F.lit(1)).join(F.broadcast(keyed), "_one", how).drop("_one")
+        crossing = self._crossing()
+        renamed = table.withColumnsRenamed({c: f"_k_{c}" for c in self.unit})
+        drop = [f"_k_{c}" for c in self.unit]
+        same = _same(self.unit, "_k_")
+        if crossing is None:
+            return rows.join(renamed, same, how).drop(*drop)
+        large = F.broadcast(crossing.drop("_k__slice").distinct())
+        few = renamed.join(large.withColumnsRenamed({c: f"_l{c}" for c in drop}), _same(drop, "_l"), "left_semi")
+        many = renamed.join(large.withColumnsRenamed({c: f"_l{c}" for c in drop}), _same(drop, "_l"), "left_anti")
+        hot = rows.join(large, same, "left_semi").join(F.broadcast(few), same, how).drop(*drop)
+        cold = rows.join(large, same, "left_anti").join(many, same, how).drop(*drop)
+        return hot.unionByName(cold)
+
     def restore(self, df: DataFrame) -> DataFrame:
         """Drop the helper columns."""
         return df.drop("_slice", "_pos")

@@ -278,10 +278,7 @@ def ar_impact(
         training = training.filter(F.col(post) == 0)
     stats = _LaggedStatistics(training, lags, unit)
     table = stats.coefficient_table(order)
-    if unit:
-        joined = shown.join(table, list(unit), "left")
-    else:
-        joined = shown.withColumn("_k", F.lit(1)).join(F.broadcast(table.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
+    joined = sliced.attach(shown, table, "left")
     fit = F.col("_beta")[0]
     for k in range(1, lags + 1):
         # Orders above the chosen one have coefficient 0 and may lack a lag.
@@ -385,12 +382,13 @@ def forecast(
     )
     drift = F.coalesce(F.try_divide(F.col("_last") - F.col("_first"), F.col("_n") - 1), F.lit(0.0))
     ends = ends.withColumn("_drift", drift if season is None else F.lit(0.0))
+    errors = sliced.attach(near.filter(F.col("_before").isNotNull()), ends.select(*unit, "_drift")).select(
+        *unit, (F.col(target) - F.col("_before") - F.col("_drift")).alias("_error")
+    )
+    # From here on both sides have one row per unit.
     keyed = lambda a, b, how="inner": (
         a.join(b, unit, how) if unit else a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k", how).drop("_k")
     )
-    errors = keyed(near.filter(F.col("_before").isNotNull()), ends.select(*unit, "_drift")).select(
-        *unit, (F.col(target) - F.col("_before") - F.col("_drift")).alias("_error")
-    )
     bounds = quantiles(errors, ["_error"], [0.1, 0.9], unit).select(*unit, F.col("q0").alias("_q10"), F.col("q1").alias("_q90"))
     future = future_keys(keyed(ends, bounds, "left").withColumnsRenamed({"_time": time}).withColumn("step", F.lit(step)), horizon, time)
     if season is None:
@@ -421,17 +419,16 @@ def holdout_metrics(
     base = df.select(*unit, time, F.col(target).cast("double").alias(target)).na.drop(subset=[time, target])
     sliced = slice_rows(base, [time], unit)
     placed = spill(sliced.scan(number="_rn"), "holdout")
-    keyed = lambda a, b: a.join(b, unit) if unit else a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
     sizes = placed.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.floor(F.lit(1 - share) * F.col("_n"))
-    parts = keyed(placed, sizes).withColumn("_cut", cut)
+    parts = sliced.attach(placed, sizes).withColumn("_cut", cut)
     training = parts.filter(F.col("_rn") <= F.col("_cut"))
     if season is None:
         ends = training.groupBy(*unit).agg(
             F.min_by(target, "_rn").alias("_first"), F.max_by(target, "_rn").alias("_last"), F.count(F.lit(1)).alias("_m")
         )
         slope = F.coalesce(F.try_divide(F.col("_last") - F.col("_first"), F.col("_m") - 1), F.lit(0.0))
-        scored = keyed(parts.filter(F.col("_rn") > F.col("_cut")), ends).withColumn(
+        scored = sliced.attach(parts.filter(F.col("_rn") > F.col("_cut")), ends).withColumn(
             "_p", F.col("_last") + (F.col("_rn") - F.col("_cut")) * slope
         )
     else:

@@ -69,6 +69,20 @@ def test_lags_stay_in_the_unit_unless_asked(spark):
     assert across.tolist()[1:] == [1.0, 2.0]
 
 
+def test_attach_equals_a_plain_join(spark):
+    """Hot units, small units, a missing unit and units absent from the table."""
+    rows = [("hot", i, 1.0) for i in range(60)] + [(f"u{i}", i, 1.0) for i in range(30)] + [(None, 1, 1.0), (None, 2, 1.0)]
+    table = spark.createDataFrame([("hot", 1), (None, 2)] + [(f"u{i}", i) for i in range(20)], "unit string, w int")
+    sliced = slice_rows(frame(spark, rows), ["t"], ["unit"], 6)
+    assert sliced._crossing() is not None
+    want = {None: 2, "hot": 1} | {f"u{i}": i for i in range(20)}
+    left = sliced.attach(sliced.frame, table, "left").collect()
+    assert len(left) == len(rows) and all(r.w == want.get(r.unit) for r in left)
+    assert sliced.attach(sliced.frame, table).count() == 60 + 20 + 2
+    whole = slice_rows(frame(spark, rows), ["t"], [], 6)
+    assert whole.attach(whole.frame, table.filter("unit = 'hot'").drop("unit")).filter("w = 1").count() == len(rows)
+
+
 def test_row_range_and_time_split(spark):
     df = spark.range(10)
     assert [r.id for r in row_range(df, ["-id"], 2, 4).orderBy("id").collect()] == [5, 6, 7]
