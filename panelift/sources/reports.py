@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelift.session import spill
+
 REPORT_SUFFIX = "_comprehensive_report.json"
 # Sections that are the same for every model and are taken from the first report (fixed names).
 COMMON_SECTIONS = ("dataset_overview", "comprehensive_dataset_analysis")
@@ -48,6 +50,8 @@ def combine_reports(reports: DataFrame) -> DataFrame:
     Reports are taken in file-name order. The last file of a model wins; the common sections come
     from the first model's report only and are listed without a model.
     """
+    # Parsed once: the names, the winners and the sections all read the stored documents.
+    reports = spill(reports.select("file", "model", "document"), "reports")
     per_model = reports.groupBy("model").agg(F.max("file").alias("file"), F.min("file").alias("_first"))
     # The first model is the one whose earliest file comes first; one small aggregate row.
     lead = per_model.agg(F.min_by("file", "_first").alias("file")).withColumn("_lead", F.lit(True))
