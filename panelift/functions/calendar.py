@@ -31,7 +31,7 @@ def week_calendar(years: DataFrame, year: str = "year") -> DataFrame:
 
     weeks = (
         years.select(F.col(year).cast("int").alias("year"))
-        .filter("year is not null")
+        .filter(F.col("year").between(1, YEARS_LIMIT))
         .distinct()
         .select("year", F.explode(F.sequence(F.lit(1), F.lit(WEEKS))).alias("week"))
         .withColumn("_start", F.date_add(first_week_start(F.col("year")), (F.col("week") - 1) * 7))

@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 from panelift.session import spill
 
@@ -239,11 +240,18 @@ def slice_rows(
     partition_by: Sequence[str] = (),
     slices: int | None = None,
 ) -> Sliced:
-    """Range-partition ``df`` along (unit, order) and write the slices to the shared folder."""
+    """Range-partition ``df`` along (unit, order) and write the slices to the shared folder.
+
+    Rows that tie in the order follow a hash of their values, so ties have one fixed order and a
+    time or score shared by very many rows is spread over several slices too.
+    """
     if not order_by:
         raise ValueError("an order is needed: name the columns in order_by")
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
     keys = [F.col(c).asc_nulls_last() for c in partition_by] + order_columns(order_by)
+    if plain:
+        keys.append(F.xxhash64(*plain).asc())
     placed = (
         df.repartitionByRange(slices, *keys)
         .sortWithinPartitions(*keys)

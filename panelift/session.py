@@ -37,6 +37,8 @@ def scratch_root(spark: SparkSession) -> str:
     if configured:
         return configured
     context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId

@@ -49,6 +49,15 @@ def test_row_id_refuses_an_existing_column(spark):
         add_row_id(spark.range(3), ["id"], "id")
 
 
+def test_a_shared_order_key_is_spread(spark):
+    """Two thirds of the rows tie in the order; the slices stay of like size and the order fixed."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id") % 10).alias("k"), "id")
+    first, again = slice_rows(df, ["k"], slices=6), slice_rows(df.repartition(3), ["k"], slices=6)
+    assert len(first.sizes) == 6 and max(n for _, n in first.sizes) < 1000
+    order = lambda s: [r.id for r in s.numbered("r").orderBy("r").collect()]
+    assert order(first) == order(again)
+
+
 def test_order_is_required(spark):
     with pytest.raises(ValueError):
         slice_rows(spark.range(3), [])

@@ -61,6 +61,13 @@ def test_empty_and_constant_columns(spark):
     assert totals.total_value == 0 and totals.roi_percent == 0
 
 
+def test_wide_tables_are_profiled_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([tuple(range(7)), tuple(range(1, 8))], [f"c{i}" for i in range(7)])
+    whole = sorted(profiling.profile_numeric(df, df.columns).collect())
+    monkeypatch.setattr(profiling, "EXPRESSIONS_PER_SCAN", 50)
+    assert sorted(profiling.profile_numeric(df, df.columns).collect()) == whole and len(whole) == 7
+
+
 def test_profile_of_one_table(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "n int, s string")
     row = profiling.profile_dataset(df).first()
