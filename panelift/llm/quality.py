@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelift.llm.catalog import query, table
+from panelift.session import spill
 
 #: Characters of one training block, bytes of one compressed block.
 BLOCK = 2000
@@ -57,15 +58,15 @@ def features(measured: np.ndarray) -> np.ndarray:
     return np.column_stack([(bad - good) / (bad + good), ratio, ratio**2, np.ones(len(n))])
 
 
-def _logistic(a: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton steps of a logistic regression with a small ridge, on scaled columns."""
+def _logistic(a: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Newton steps of a weighted logistic regression with a small ridge, on scaled columns."""
     scale = np.where(a.std(0) > 0, a.std(0), 1.0)
     a = a / scale
     w = np.zeros(a.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + 1e-2 * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
+        grad = a.T @ (weights * (p - y)) + 1e-2 * w
+        hess = (a * (weights * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-9:
@@ -73,12 +74,12 @@ def _logistic(a: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w / scale
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", blocks: int = 3000, rows: int = 20000, dictionary: int = 1 << 16) -> Model:
-    """Train on a bounded sample of ``labelled`` (label 1 good, 0 bad; other rows are ignored).
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", blocks: int = 3000, share: float | None = None, dictionary: int = 1 << 16) -> Model:
+    """Train on ``labelled``, a bounded sample (label 1 good, 0 bad; other rows are ignored).
 
-    ``blocks``: text blocks of each class from which its dictionary is built; ``rows``: labelled rows
-    whose size differences calibrate the score; ``dictionary``: bytes of a dictionary. Samples are the
-    rows of lowest text hash. Rows whose hash is even build the dictionaries, odd ones calibrate, so
+    ``blocks``: text blocks of each class from which its dictionary is built, those of lowest hash;
+    ``share``: part of good rows among all labelled rows, if the sample has another; ``dictionary``:
+    bytes of a dictionary. Rows whose text hash is even build the dictionaries, odd ones calibrate, so
     calibration never sees a text it was built from. Without rows of both classes every score is 0.5.
     """
     rank = F.xxhash64(F.col(text), F.lit(8))
@@ -104,7 +105,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", blocks: i
     good, bad = contents
     if not good or not bad:
         return Model(good or b" ", bad or b" ", (0.0,) * 4)
-    sample = known.where("h % 2 <> 0").orderBy("h", "text").limit(rows)
+    sample = known.where("h % 2 <> 0")
 
     @F.pandas_udf("array<double>")
     def measured(column: pd.Series) -> pd.Series:
@@ -113,7 +114,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", blocks: i
     found = sample.select("label", measured("text").alias("x")).toPandas()
     if found.label.nunique() < 2:
         return Model(good, bad, (20.0, 0.0, 0.0, 0.0))
-    return Model(good, bad, tuple(_logistic(features(np.vstack(found.x)), found.label.to_numpy(float)).tolist()))
+    y = found.label.to_numpy(float)
+    share = y.mean() if share is None else share
+    weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    return Model(good, bad, tuple(_logistic(features(np.vstack(found.x)), y, weights).tolist()))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
@@ -136,9 +140,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_on_labels(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
+def fit_on_labels(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
+    """Train on at most ``rows`` labelled documents of each class: those of lowest id hash, never held-out ones.
+
+    The sampled ids are bounded by ``rows``, so they are broadcast to the documents instead of
+    shuffling texts. Class shares are counted over all labels.
+    """
     marks = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    return fit(docs.select("doc_id", "text").join(marks, "doc_id"))
+    marks = spill(marks.where("label in (0, 1) and doc_id is not null"), "marks")
+    share = marks.agg(F.avg("label")).first()[0]
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    chosen = marks.where("label = 1").orderBy(*order).limit(rows).unionByName(marks.where("label = 0").orderBy(*order).limit(rows))
+    sample = spill(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+    return fit(sample, share=share)
 
 
 @query("op8_quality_classifier")
