@@ -17,14 +17,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays (of rows alike in id, the smallest text)."""
-    groups = nearjoin.near_duplicates(docs).where("doc_id = class_id or class_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(groups, docs.doc_id.eqNullSafe(groups._id), "left_semi")
-    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    first = kept.join(again, "doc_id", "left_semi")
-    columns = [F.min(F.struct("text", *[c for c in docs.columns if c not in ("text", "doc_id")])).alias("r")]
-    first = first.groupBy("doc_id").agg(*columns).select("doc_id", "r.*").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").unionByName(first)
+    """Of each group of near duplicates the document of the smallest id stays."""
+    return nearjoin.keep_first(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,17 +148,11 @@ def _verify(frame: pd.DataFrame, size: int, similarity: float) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"digest": [], "links": np.zeros(0, np.int64), "mate": []})
 
 
-def near_duplicates(
+def _joined(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY,
     trees: int = TREES, recall: float = RECALL,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_id, n_links.
-
-    Words are runs of letters, digits and non-ASCII characters, lower-cased; a text below ``size`` words
-    is one shingle. ``copy_id``: the smallest id among texts of the same shingle set; ``n_links``: other
-    documents whose sets have Jaccard >= ``similarity``; ``class_id``: the smallest id of the
-    component of links. Texts without words (null, empty) have no links and are their own class. Null ids count
-    as documents but never name a class. Repeated rows are copies of each other.
+    """(doc_id, text_key, class_id, copy_id, n_links, first) per row; first: it is its class's smallest (doc_id, text_key).
 
     Copies are folded into their set first. Sets that share a trie node form candidate components; each
     is compared in blocks of about ``BLOCK`` texts, and only those pairs of blocks meet that share a node,
@@ -202,18 +196,47 @@ def near_duplicates(
 
     counts = found.groupBy("digest").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("digest <> mate"), "digest", "mate").withColumnRenamed("node", "digest")
-    named = classes.select("digest", "copy_id", "copies").join(counts, "digest", "left").join(joined, "digest", "left")
+    named = classes.select("digest", "copy_id", "copies", "pick").join(counts, "digest", "left").join(joined, "digest", "left")
     named = spill(named.withColumn("label", F.coalesce("label", "digest")), "named")
-    least = named.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "label").select("digest", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "digest").join(named, "digest", "left")
+    least = named.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min("pick").alias("least"))
+    named = named.join(least, "label").select("digest", "copy_id", "class_id", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = rows.drop("nodes").join(named, "digest", "left")
     alone = F.col("digest").isNull()
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
     return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (alone | first).alias("first"),
     )
 
 
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, copy_id, n_links.
+
+    Words are runs of letters, digits and non-ASCII characters, lower-cased; a text below ``size`` words
+    is one shingle. ``copy_id``: the smallest id among texts of the same shingle set; ``n_links``: other
+    documents whose sets have Jaccard >= ``similarity``; ``class_id``: the smallest id of the
+    component of links. Texts without words (null, empty) have no links and are their own class. Null ids count
+    as documents but never name a class. Repeated rows are copies of each other.
+    """
+    return _joined(docs, doc_id, text, size, similarity, trees, recall).drop("text_key", "first")
+
+
+def _row_key(doc_id, text_key):
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("none")), F.hex(text_key))))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the document of the smallest id (null last) stays.
+
+    Ids that are alike are told apart by their lower-cased text. Rows alike in both are one document: the smallest row stays.
+    """
+    first = _joined(docs, doc_id, text, **settings).where("first").select(_row_key(F.col("doc_id"), F.col("text_key")).alias("_row")).distinct()
+    text_key = F.unhex(F.md5(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    kept = docs.withColumn("_row", _row_key(F.col(doc_id), text_key)).join(first, "_row", "left_semi")
+    return kept.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+
+
 SQL = r"""
 with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
 s as (
