@@ -30,7 +30,7 @@ TEMPLATES = (
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-CONTAINMENT = 0.8
+CONTAINMENT = 0.9
 
 
 def _lower(text: Column) -> Column:
