@@ -181,7 +181,7 @@ def test_license_labels(spark):
     rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert rows[21].base_labels == "apache,cc-by,gpl,mit"
     assert rows[22].labels == "cc-by,cc-by-nc-4.0,gpl,gpl-3.0"
-    assert (rows[23].n_base, rows[23].first_word, rows[23].last_word) == (2, 2, 10)
+    assert (rows[23].n_base, rows[23].first_word, rows[23].last_word) == (2, 3, 11)
     assert rows[10].n_words == 0 and rows[10].first_word is None and rows[10].labels == ""
 
 
