@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
 from panelift.llm.catalog import query, table
 
@@ -290,9 +291,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, ids: str = "
     with open(model, "rb") as f:
         content = f.read()
     docs = docs.drop(ids, *([round_trip] if round_trip else []))
-    schema = docs.schema.add(ids, "array<int>")
+    schema = StructType(list(docs.schema.fields)).add(ids, ArrayType(IntegerType()))
     if round_trip:
-        schema = schema.add(round_trip, "boolean")
+        schema = schema.add(round_trip, BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(content)
