@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WEEKS = 53
-YEARS_LIMIT = 9999  # years have four digits, so a calendar has at most 9999 x 53 rows
 
 
 def first_week_start(year: Column) -> Column:
@@ -26,12 +25,15 @@ def week_number(day: Column) -> Column:
 
 
 def week_calendar(years: DataFrame, year: str = "year") -> DataFrame:
-    """(year, week, month, weeks_in_month) for each distinct year of the input."""
+    """(year, week, month, weeks_in_month) for each distinct year of the input: at most 53 rows per year.
+
+    Years that Spark's dates cannot hold raise an error in ANSI mode; a missing year has no weeks.
+    """
     from pyspark.sql import Window
 
     weeks = (
         years.select(F.col(year).cast("int").alias("year"))
-        .filter(F.col("year").between(1, YEARS_LIMIT))
+        .filter(F.col("year").isNotNull())
         .distinct()
         .select("year", F.explode(F.sequence(F.lit(1), F.lit(WEEKS))).alias("week"))
         .withColumn("_start", F.date_add(first_week_start(F.col("year")), (F.col("week") - 1) * 7))

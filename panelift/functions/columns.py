@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-MAP_BROADCAST_ROWS = 100_000
-
 
 def standard_name(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
@@ -35,14 +33,15 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def recode_values(df: DataFrame, column: str, mapping: Mapping[str, str]) -> DataFrame:
-    """Replace values found in the map, keep all others."""
-    if len(mapping) <= 200:
-        return df.replace(dict(mapping), subset=[column])
-    table = df.sparkSession.createDataFrame(list(mapping.items()), ["_from", "_to"])
-    if len(mapping) <= MAP_BROADCAST_ROWS:
-        table = F.broadcast(table)
+    """Replace values found in the map (a None there makes them missing), keep all others.
+
+    A join whatever the size of the map; Spark broadcasts it only when its size allows.
+    """
+    if not mapping:
+        return df
+    table = df.sparkSession.createDataFrame(list(mapping.items()), "_from string, _to string")
     joined = df.join(table, F.col(column) == F.col("_from"), "left")
-    return joined.withColumn(column, F.coalesce("_to", column)).select(*df.columns)
+    return joined.withColumn(column, F.when(F.col("_from").isNotNull(), F.col("_to")).otherwise(F.col(column))).select(*df.columns)
 
 
 def parse_week_id(df: DataFrame, column: str = "week_id", year: str = "year", week: str = "week") -> DataFrame:

@@ -13,16 +13,15 @@ from panelift.operators.gram import LinearFit
 from panelift.operators.linear import fit_ols, inference_rows, linear_expression
 from panelift.operators.ordered import slice_rows
 
-LEVEL_LIMIT = 200  # every level of a text feature becomes a regressor
 INTERACTION = "treated:post"
 
 
 def dummy_columns(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
-    """0/1 columns for the levels of a text column in sorted order, the first level left out."""
-    rows = df.select(column).na.drop().distinct().limit(LEVEL_LIMIT + 1).collect()
-    if len(rows) > LEVEL_LIMIT:
-        raise ValueError(f"{column!r} has more than {LEVEL_LIMIT} levels; encode it before the fit")
-    levels = sorted(str(r[0]) for r in rows)[1:]
+    """0/1 columns for the levels of a text column in sorted order, the first level left out.
+
+    Every level becomes a regressor, so the fit grows with the square of their number.
+    """
+    levels = sorted(str(r[0]) for r in df.select(column).na.drop().distinct().collect())[1:]
     names = [f"{column}_{safe_name(v)}" for v in levels]
     flags = {n: (F.col(column).cast("string") == v).cast("double") for n, v in zip(names, levels)}
     return (df.withColumns(flags) if flags else df), names
@@ -124,13 +123,13 @@ def nearest_match(
     """
     used = df.select(*dict.fromkeys([key, score, treated, *carry]))
     member = (F.col(treated) == 0) if pool == "controls" else F.lit(True)
-    picked = {f"_p_{c}": F.when(member, F.col(c)) for c in (key, score, *carry)}
-    sliced = slice_rows(used.withColumns(picked), [score, key])
-    names = [key, score, *carry]
-    seen = sliced.scan(last={f"_b_{c}": f"_p_{c}" for c in names}, following={f"_a_{c}": f"_p_{c}" for c in names})
-    below, above = F.col(score) - F.col(f"_b_{score}"), F.col(f"_a_{score}") - F.col(score)
-    lower = F.col(f"_b_{key}").isNotNull() & (F.col(f"_a_{key}").isNull() | (below <= above))
-    pick = lambda c: F.when(lower, F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}"))
+    # one struct per side: a carried value that is missing stays the match's own missing value
+    picked = F.when(member & F.col(score).isNotNull(), F.struct(*dict.fromkeys([key, score, *carry])))
+    sliced = slice_rows(used.withColumn("_p", picked), [score, key])
+    seen = sliced.scan(last={"_b": "_p"}, following={"_a": "_p"})
+    below, above = F.col(score) - F.col("_b")[score], F.col("_a")[score] - F.col(score)
+    lower = F.col("_b").isNotNull() & (F.col("_a").isNull() | (below <= above))
+    pick = lambda c: F.when(lower, F.col("_b")[c]).otherwise(F.col("_a")[c])
     matched = seen.filter(F.col(treated) == 1)
     return matched.select(
         *dict.fromkeys([key, score, *carry]),

@@ -41,12 +41,27 @@ def vif_values(m: Moments) -> dict[str, float]:
 
 
 def vif(df: DataFrame, columns: Sequence[str], threshold: float = VIF_THRESHOLD) -> DataFrame:
-    """(variable, vif, high); constant columns are left out, rows with gaps dropped."""
-    values = vif_values(moments(df, columns))
+    """(variable, vif, high); constant columns are left out first, then rows with gaps dropped.
+
+    A constant or empty column therefore costs no rows.
+    """
+    ends = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
+    moving = [c for i, c in enumerate(columns) if ends[f"lo{i}"] is not None and ends[f"lo{i}"] != ends[f"hi{i}"]]
+    values = vif_values(moments(df, moving)) if moving else {}
     rows = [(c, v, v > threshold) for c, v in values.items()]
     return df.sparkSession.createDataFrame(rows, "variable string, vif double, high boolean")
 
 
+def top_vif(table: DataFrame, limit: int = 10) -> DataFrame:
+    """The ``limit`` variables of largest factor, name order on ties."""
+    return table.orderBy(F.desc("vif"), "variable").limit(limit)
+
+
+def top_pairs(pairs: DataFrame, limit: int = 10) -> DataFrame:
+    """The ``limit`` pairs of largest absolute correlation, name order on ties."""
+    return pairs.orderBy(F.desc("abs_correlation"), "variable_1", "variable_2").limit(limit)
+
+
 def vif_level(value: Column) -> Column:
     """severe above 10, moderate above 5, acceptable otherwise."""
     return F.when(value > 10, "severe").when(value > 5, "moderate").otherwise("acceptable")

@@ -8,26 +8,37 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelift.operators.gram import moments, pair_sums
+from panelift.functions.columns import nan_to_null
+from panelift.operators.gram import SQL_WIDTH, pair_sums
 
 TIDY = "i int, j int, var_i string, var_j string, corr double, pairs long"
 
 
 def correlation_values(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(correlations, pair counts), each pair over the rows where both values are present.
+    """(correlations, pair counts), each pair over the rows where both values are present (NaN is missing).
 
-    A table without gaps needs the plain moments; with gaps every pair gets its own masked sums.
+    Up to ``SQL_WIDTH`` columns one aggregate of pair correlations; wider tables add up masked matrices.
     """
     names = list(columns)
     k = len(names)
-    level = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count(c).alias(f"c{i}") for i, c in enumerate(names)],
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-    ).first()
-    if all(level[f"c{i}"] == level["_n"] for i in range(k)):
-        m = moments(df, names)
-        return np.clip(m.correlation(), -1.0, 1.0), np.full((k, k), int(m.n))
+    df = nan_to_null(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]))
+    if k <= SQL_WIDTH:
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        present = lambda i, j: F.when(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull(), F.col(f"v{i}"))
+        found = df.agg(
+            *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs],
+            *[F.var_pop(present(i, j)).alias(f"s{i}_{j}") for i in range(k) for j in range(k)],
+            *[F.count(present(i, j)).alias(f"n{i}_{j}") for i, j in pairs],
+        ).first()
+        corr, n = np.full((k, k), np.nan), np.zeros((k, k), int)
+        for i, j in pairs:
+            n[i, j] = n[j, i] = found[f"n{i}_{j}"]
+            spread = (found[f"s{i}_{j}"] or 0.0) * (found[f"s{j}_{i}"] or 0.0)
+            if spread > 0:  # a constant column has no correlation
+                corr[i, j] = corr[j, i] = found[f"c{i}_{j}"] / spread**0.5
+        return np.clip(corr, -1.0, 1.0), n
+    names = [f"v{i}" for i in range(k)]
+    level = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).first()
     s = pair_sums(df, names, [level[f"m{i}"] or 0.0 for i in range(k)])
     with np.errstate(divide="ignore", invalid="ignore"):
         covariance = s["xy"] - s["x"] * s["x"].T / s["n"]

@@ -47,8 +47,14 @@ def treated_by_quantile(df: DataFrame, column: str, quantile: float = 0.5, above
 
 
 def crosstab(df: DataFrame, rows: str = "treated", columns: str = "post") -> DataFrame:
-    """Counts per cell with margins ('All'); low cells are marked."""
-    cells = df.groupBy(rows, columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Counts per cell of the grid of all values seen, with margins ('All'); empty and low cells are marked."""
+    seen = df.groupBy(rows, columns).agg(F.count(F.lit(1)).cast("long").alias("_n"))
+    # two flags have few values, so the grid is built from two short arrays
+    values = seen.agg(*[F.array_distinct(F.collect_list(F.struct(F.col(c)))).alias(f"_{c}") for c in (rows, columns)])
+    grid = values.select(F.explode(f"_{rows}").alias("_r"), f"_{columns}").select(
+        F.col("_r")[rows].alias(rows), F.explode(f"_{columns}").alias("_c")
+    ).select(rows, F.col("_c")[columns].alias(columns), F.lit(0).cast("long").alias("_n"))
+    cells = seen.unionByName(grid).groupBy(rows, columns).agg(F.sum("_n").alias("_n"))
     cube = cells.cube(rows, columns).agg(F.sum("_n").alias("n"), F.grouping_id().alias("_g"))
     label = lambda name, bit: F.when(F.col("_g").bitwiseAND(bit) != 0, F.lit("All")).otherwise(F.col(name).cast("string"))
     return cube.select(

@@ -3,8 +3,8 @@
 ``moments`` reduces any number of rows to n, the mean vector and the centred cross-product
 matrix of k columns, in one pass. Up to ``SQL_WIDTH`` columns this is a plain SQL aggregate of
 covariances (computed stably, with map-side partial aggregation). Wider matrices are accumulated
-per partition with numpy and merged in two levels, so neither the driver nor a task ever holds
-more than a bounded number of k x k matrices.
+per partition with numpy and merged in levels of constant fan-in, so neither the driver nor a task
+ever holds more than a fixed number of k x k matrices, however many partitions there are.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelift.session import spill
+
 SQL_WIDTH = 14
-_MERGE_FAN = 64
+_MERGE_FAN = 16
 RANK_TOLERANCE = 1e-10
 
 
@@ -114,7 +116,7 @@ def _wide_moments(df: DataFrame, names: list[str], by: Sequence[str]) -> DataFra
     by = list(by)
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`{c}` {fields[c]}" for c in by], "_bucket int", "total double", "n double", "mean array<double>", "cross array<double>"])
-    used = df.select(*by, *[F.col(c).cast("double").alias(c) for c in names], F.pmod(F.spark_partition_id(), F.lit(_MERGE_FAN)).alias("_bucket"))
+    used = df.select(*by, *[F.col(c).cast("double").alias(c) for c in names], F.spark_partition_id().alias("_bucket"))
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, tuple] = {}
@@ -152,21 +154,35 @@ def _wide_moments(df: DataFrame, names: list[str], by: Sequence[str]) -> DataFra
         out["total"], out["n"], out["mean"], out["cross"] = total, n, [mean.tolist()], [cross.ravel().tolist()]
         return out
 
-    first = used.mapInPandas(partials, schema).groupBy(*by, "_bucket").applyInPandas(merge, schema)
-    second = first.withColumn("_bucket", F.lit(0)).groupBy(*by, "_bucket").applyInPandas(merge, schema)
-    return second.drop("_bucket")
+    return merged_in_levels(used.mapInPandas(partials, schema), by, merge, schema).drop("_bucket")
+
+
+def merged_in_levels(parts: DataFrame, by: Sequence[str], merge, schema: str, bucket: str = "_bucket") -> DataFrame:
+    """Merge the rows of ``parts`` (by..., bucket, ...) to one per group, ``_MERGE_FAN`` buckets at a time.
+
+    ``bucket`` is the number of the partition a row comes from. The partial results are stored once, so the
+    number of levels is known; each level divides the number of buckets by the fan-in.
+    """
+    merged = spill(parts, "partials")
+    kind = dict(merged.dtypes)[bucket]
+    most = merged.agg(F.max(bucket)).first()[0] or 0
+    while True:
+        merged = merged.withColumn(bucket, F.floor(F.col(bucket) / _MERGE_FAN).cast(kind)).groupBy(*by, bucket).applyInPandas(merge, schema)
+        most //= _MERGE_FAN
+        if most == 0:
+            return merged
 
 
 def pair_sums(df: DataFrame, columns: Sequence[str], shift: Sequence[float]) -> dict[str, np.ndarray]:
     """Sums over the rows where both columns of a pair are present, for every pair, in one pass.
 
     ``n`` counts, ``x`` sums the first column, ``xx`` its squares, ``xy`` the products, all about
-    ``shift``. Each partition adds up k x k matrices; they are merged in two levels.
+    ``shift``. Each partition adds up k x k matrices; they are merged in levels of constant fan-in.
     """
     names = list(columns)
     k = len(names)
     centre = np.asarray(shift, float)
-    used = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)], F.pmod(F.spark_partition_id(), F.lit(_MERGE_FAN)).alias("_bucket"))
+    used = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)], F.spark_partition_id().alias("_bucket"))
     schema = "_bucket int, sums array<double>"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,10 +199,9 @@ def pair_sums(df: DataFrame, columns: Sequence[str], shift: Sequence[float]) ->
         total = np.zeros(4 * k * k)
         for values in part["sums"]:
             total += np.asarray(values, float)
-        return pd.DataFrame({"_bucket": [0], "sums": [total.tolist()]})
+        return pd.DataFrame({"_bucket": part["_bucket"].iloc[:1].tolist(), "sums": [total.tolist()]})
 
-    first = used.mapInPandas(partial, schema).groupBy("_bucket").applyInPandas(merge, schema)
-    rows = first.withColumn("_bucket", F.lit(0)).groupBy("_bucket").applyInPandas(merge, schema).collect()
+    rows = merged_in_levels(used.mapInPandas(partial, schema), [], merge, schema).collect()
     total = np.asarray(rows[0]["sums"], float).reshape(4, k, k) if rows else np.zeros((4, k, k))
     return dict(zip(("n", "x", "xx", "xy"), total))
 
@@ -206,13 +221,10 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     return _from_row(names, rows[0]) if rows else Moments(names, 0.0, np.zeros(k), np.zeros((k, k)))
 
 
-def moments_by(df: DataFrame, columns: Sequence[str], group: str, limit: int = 1000) -> dict[object, Moments]:
-    """Moments per value of a column with few values (folds, splits); more than ``limit`` is refused."""
+def moments_by(df: DataFrame, columns: Sequence[str], group: str) -> dict[object, Moments]:
+    """Moments per value of a column that the caller has bounded (folds, splits)."""
     names = list(columns)
-    rows = moments_frame(df, names, [group]).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{group!r} has more than {limit} values; solve per group on executors instead")
-    return {r[group]: _from_row(names, r) for r in rows}
+    return {r[group]: _from_row(names, r) for r in moments_frame(df, names, [group]).collect()}
 
 
 @dataclass

@@ -11,6 +11,7 @@ from panelift.operators.frequency import modes, numeric_columns, quantile_map
 from panelift.operators.ordered import slice_rows
 from panelift.session import spill
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 METHODS = ("listwise", "zero", "mean", "median", "ffill", "bfill", "interpolate", "mode")
 
 
@@ -29,9 +30,10 @@ def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _fill_with(df: DataFrame, values: dict[str, object]) -> DataFrame:
+    """Fill gaps; a fill of the column's own kind keeps its type, a mean or median turns it into double."""
     types = dict(df.dtypes)
     filled = {
-        c: F.coalesce(F.col(c), F.lit(v)) if types[c] in ("double", "string") else F.coalesce(F.col(c).cast("double"), F.lit(v))
+        c: F.coalesce(F.col(c).cast("double"), F.lit(v)) if isinstance(v, float) else F.coalesce(F.col(c), F.lit(v).cast(types[c]))
         for c, v in values.items()
         if v is not None
     }
@@ -39,11 +41,15 @@ def _fill_with(df: DataFrame, values: dict[str, object]) -> DataFrame:
 
 
 def _text_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent text per column ('0' when a column is empty): one row per column."""
+    """Most frequent value of each text, date or flag column, one row per column.
+
+    An empty text column gets '0'; an empty date or flag column stays empty.
+    """
     if not columns:
         return {}
+    types = dict(df.dtypes)
     found = {r["variable"]: r["value"] for r in modes(df, columns).collect()}
-    return {c: found.get(c, "0") for c in columns}
+    return {c: found.get(c, "0" if types[c] == "string" else None) for c in columns}
 
 
 def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -63,24 +69,27 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Most frequent value, the smallest on ties, 0 when there is none."""
+    """Most frequent value, the smallest on ties, 0 when there is none. Whole numbers are compared exactly."""
     numeric, text = _split(df, columns)
     values = _text_modes(df, text)
-    if numeric:
-        found = {r["variable"]: r["value"] for r in modes(df, numeric, cast="double").collect()}
-        values |= {c: found.get(c, 0.0) for c in numeric}
+    types = dict(df.dtypes)
+    whole = [c for c in numeric if types[c] in WHOLE]
+    for some, cast, empty in ((whole, "bigint", 0), ([c for c in numeric if c not in whole], "double", 0.0)):
+        if some:
+            found = {r["variable"]: r["value"] for r in modes(df, some, cast=cast).collect()}
+            values |= {c: found.get(c, empty) for c in some}
     return _fill_with(df, values)
 
 
 def fill_forward(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
-    """Carry the last seen value on; gaps at the start become 0."""
+    """Carry the last seen value on; gaps at the start become 0 (dates and flags stay missing there)."""
     sliced = slice_rows(df, order_by, partition_by)
     carried = sliced.scan(last={c: c for c in columns})
     return fill_zero(carried.select(*df.columns), columns)
 
 
 def fill_backward(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
-    """Carry the next seen value back; gaps at the end become 0."""
+    """Carry the next seen value back; gaps at the end become 0 (dates and flags stay missing there)."""
     sliced = slice_rows(df, order_by, partition_by)
     carried = sliced.scan(following={c: c for c in columns})
     return fill_zero(carried.select(*df.columns), columns)

@@ -312,6 +312,15 @@ def running_effect(
     return sliced.restore(sliced.scan(sums={"cumulative_effect": "effect"}))
 
 
+def align_by_position(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
+    """Row i of ``left`` (in its order) beside row i of ``right``; the longer side's rest is left out.
+
+    The orders must be total. Column names must differ.
+    """
+    numbered = [slice_rows(df, list(order)).numbered("_place").select("_place", *df.columns) for df, order in ((left, left_order), (right, right_order))]
+    return numbered[0].join(numbered[1], "_place").drop("_place")
+
+
 def modal_step(
     df: DataFrame,
     time_column: str,
@@ -322,13 +331,14 @@ def modal_step(
 
     ``time_column`` must be numeric (epoch seconds for timestamps). One row per unit.
     """
-    sliced = slice_rows(df.select(*partition_by, time_column), [time_column], partition_by, slices)
-    steps = (
-        sliced.shifted({"_before": (time_column, 1)})
-        .withColumn("step", F.col(time_column) - F.col("_before"))
-        .filter(F.col("step").isNotNull())
-    )
-    counted = steps.groupBy(*partition_by, "step").agg(F.count(F.lit(1)).alias("_n"))
+    # Rows alike are counted first: a time that stands n times has n - 1 steps of zero, and no tie is left to sort.
+    times = df.filter(F.col(time_column).isNotNull()).groupBy(*partition_by, time_column).agg(F.count(F.lit(1)).alias("_times"))
+    sliced = slice_rows(times, [time_column], partition_by, slices)
+    placed = sliced.shifted({"_before": (time_column, 1)})
+    step = F.col(time_column) - F.col("_before")
+    kinds = F.array(F.struct(step.alias("step"), F.lit(1).cast("long").alias("k")), F.struct((F.col(time_column) - F.col(time_column)).alias("step"), (F.col("_times") - 1).alias("k")))
+    steps = placed.select(*partition_by, F.inline(kinds)).filter("step is not null and k > 0")
+    counted = steps.groupBy(*partition_by, "step").agg(F.sum("k").alias("_n"))
     best = F.min(F.struct((-F.col("_n")).alias("k"), F.col("step").alias("step")))
     return counted.groupBy(*partition_by).agg(best.alias("_b")).select(
         *partition_by, F.col("_b.step").alias("step"), (-F.col("_b.k")).alias("step_count")

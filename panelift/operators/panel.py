@@ -11,8 +11,6 @@ from panelift.functions.calendar import week_calendar
 from panelift.functions.columns import safe_name
 from panelift.session import spill
 
-BRAND_LIMIT = 1000  # every brand becomes columns
-
 
 def split_brand(df: DataFrame, client: str, brand: str = "brand") -> tuple[DataFrame, DataFrame]:
     """(client rows, competitor rows); a missing brand is a competitor."""
@@ -34,12 +32,20 @@ def monthly_totals(
 
 
 def distinct_brands(df: DataFrame, client: str, brand: str = "brand") -> list[str]:
-    """Competitor brands in name order; they turn into columns, so too many are refused."""
+    """All competitor brands in name order, for the wide form (a few columns per brand).
+
+    With more brands than a table should have columns, use ``brand_long``.
+    """
     _, others = split_brand(df, client, brand)
-    rows = others.select(brand).na.drop().distinct().limit(BRAND_LIMIT + 1).collect()
-    if len(rows) > BRAND_LIMIT:
-        raise ValueError(f"more than {BRAND_LIMIT} brands: keep brands as rows instead of columns")
-    return sorted(r[0] for r in rows)
+    return sorted(r[0] for r in others.select(brand).na.drop().distinct().collect())
+
+
+def brand_long(
+    df: DataFrame, sums: Mapping[str, str], keys: Sequence[str] = ("city", "month"), brand: str = "brand"
+) -> DataFrame:
+    """One row per key and brand, whatever the number of brands; rows with a missing key or brand are left out."""
+    present = df.na.drop(subset=[*keys, brand])
+    return present.groupBy(*keys, brand).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(o) for o, c in sums.items()])
 
 
 def brand_pivot(
@@ -140,11 +146,15 @@ def build_panel(
     sums: Mapping[str, str],
     counts: Mapping[str, str],
     brands: Sequence[str] = (),
+    years: DataFrame | None = None,
 ) -> DataFrame:
-    """Weekly panel: visits with client, competitor and per-brand activity."""
+    """Weekly panel: visits with client, competitor and per-brand activity.
+
+    ``years`` (year) spares deriving the calendar's years from visits that are costly to build.
+    """
     wide = monthly_wide(ads, client, sums, counts, brands)
     metrics = [c for c in wide.columns if c not in ("city", "month")]
-    weekly = monthly_to_weekly(wide, visits.select("year"), metrics)
+    weekly = monthly_to_weekly(wide, (visits if years is None else years).select("year"), metrics)
     return join_panel(visits, [weekly])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from panelift.operators.frequency import quantile_map, quantiles, value_counts
+from panelift.operators.frequency import quantile_map, value_counts
 
 OUTLIER_QUANTILE = 0.99
 # Words that make a column a candidate for a date (fixed values).
@@ -113,13 +113,25 @@ def outliers_iqr(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def unique_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Number of distinct present values per column, by one grouping of (column, value) as stored.
+
+    Values are compared as text, so whole numbers beyond 2^53 stay apart; 0.0 takes away the sign of zero.
+    """
+    kinds = dict(df.dtypes)
+    exact = df.select(*[(F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c)).cast("string").alias(c) for c in columns])
+    counted = value_counts(exact, columns, cast="string").groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
+    return {r["variable"]: r["n"] for r in counted.collect()}
+
+
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Full numeric profile, one row per column. Skewness and kurtosis are population (excess)."""
-    order = {r["variable"]: r for r in quantiles(df, columns, [0.25, 0.5, 0.75]).collect()}
+    order = quantile_map(df, columns, [0.25, 0.5, 0.75])
+    unique = unique_counts(df, columns)
     per_column = {}
     for c in columns:
         r = order.get(c)
-        q25, median, q75 = (r["q0"], r["q1"], r["q2"]) if r else (None, None, None)
+        q25, median, q75 = r if r else (None, None, None)
         low, high = _iqr_bounds(q25, q75) if r else (None, None)
         value = F.col(c).cast("double")
         number = lambda v, name: F.lit(v).cast("double").alias(name)
@@ -141,7 +153,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             number(None if r is None else q75 - q25, "iqr"),
             F.when(~flat, F.skewness(value)).alias("skewness"),
             F.when(~flat, F.kurtosis(value)).alias("kurtosis"),
-            F.lit(r["distinct_count"] if r else 0).cast("long").alias("unique_count"),
+            F.lit(unique.get(c, 0)).cast("long").alias("unique_count"),
             F.count_if(value == 0).alias("zero_count"),
             F.count_if(value < 0).alias("negative_count"),
             F.count_if(value > 0).alias("positive_count"),

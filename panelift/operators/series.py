@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelift.operators.frequency import quantiles
+from panelift.operators.gram import merged_in_levels
 from panelift.operators.linear import fit_metrics
 from panelift.operators.ordered import Sliced, slice_rows
 from panelift.session import spill
@@ -19,7 +20,6 @@ MAX_LAGS = 5
 IRF_STEPS = 10
 HORIZON = 12
 MINIMUM_OBSERVATIONS = 10
-_PARTS = 64
 
 
 def _typed(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -56,7 +56,7 @@ class VarStatistics:
         seen = sum((F.col(f"_l{k}_0").isNotNull().cast("int") for k in range(1, lags + 1)), F.lit(0))
         columns = [f"_l{k}_{i}" for k in range(1, lags + 1) for i in range(m)] + [f"_y{i}" for i in range(m)]
         picked = rows.select(
-            *unit, seen.alias("_class"), F.pmod(F.col("_slice"), F.lit(_PARTS)).alias("_part"), *columns
+            *unit, seen.alias("_class"), F.col("_slice").alias("_part"), *columns
         )
         mean = np.tile(self.mean, lags + 1)
         scale = np.tile(self.scale, lags + 1)
@@ -95,9 +95,7 @@ class VarStatistics:
             out["gram"] = [total.tolist()]
             return out
 
-        first = picked.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(merge, schema)
-        second = first.withColumn("_part", F.lit(0).cast(dict(first.dtypes)["_part"])).groupBy(*keys).applyInPandas(merge, schema)
-        return second.drop("_part")
+        return merged_in_levels(picked.mapInPandas(partial, schema), keys[:-1], merge, schema, "_part").drop("_part")
 
     def _solved(self, order: int | None, emit, schema: str) -> DataFrame:
         """Run ``emit(key values, solution)`` per unit on its few Gram rows (at most L + 1)."""
@@ -414,7 +412,11 @@ def forecast(
 def holdout_metrics(
     df: DataFrame, time: str, target: str, unit: Sequence[str] = (), share: float = 0.2, season: int | None = None
 ) -> DataFrame:
-    """Errors on the last ``share`` of each unit, forecast from its training part only."""
+    """Errors on the last ``share`` of each unit, forecast from its training part only.
+
+    With ``season`` a row takes the value one or more seasons earlier; where a unit's training part is
+    shorter than a season and lacks that place, the drift rule of the form without season serves.
+    """
     unit = list(unit)
     base = df.select(*unit, time, F.col(target).cast("double").alias(target)).na.drop(subset=[time, target])
     sliced = slice_rows(base, [time], unit)
@@ -423,16 +425,19 @@ def holdout_metrics(
     cut = F.floor(F.lit(1 - share) * F.col("_n"))
     parts = sliced.attach(placed, sizes).withColumn("_cut", cut)
     training = parts.filter(F.col("_rn") <= F.col("_cut"))
+    ends = training.groupBy(*unit).agg(
+        F.min_by(target, "_rn").alias("_first"), F.max_by(target, "_rn").alias("_last"), F.count(F.lit(1)).alias("_m"),
+        # the last season of a unit: at most ``season`` values
+        *([] if season is None else [F.collect_list(F.when(F.col("_rn") > F.col("_cut") - season, F.struct("_rn", target))).alias("_tail")]),
+    )
+    slope = F.coalesce(F.try_divide(F.col("_last") - F.col("_first"), F.col("_m") - 1), F.lit(0.0))
+    drift = F.col("_last") + (F.col("_rn") - F.col("_cut")) * slope
+    scored = sliced.attach(parts.filter(F.col("_rn") > F.col("_cut")), ends)
     if season is None:
-        ends = training.groupBy(*unit).agg(
-            F.min_by(target, "_rn").alias("_first"), F.max_by(target, "_rn").alias("_last"), F.count(F.lit(1)).alias("_m")
-        )
-        slope = F.coalesce(F.try_divide(F.col("_last") - F.col("_first"), F.col("_m") - 1), F.lit(0.0))
-        scored = sliced.attach(parts.filter(F.col("_rn") > F.col("_cut")), ends).withColumn(
-            "_p", F.col("_last") + (F.col("_rn") - F.col("_cut")) * slope
-        )
+        scored = scored.withColumn("_p", drift)
     else:
-        tail = training.filter(F.col("_rn") > F.col("_cut") - season).select(*unit, (F.col("_rn") - F.col("_cut") + season - 1).alias("_place"), F.col(target).alias("_p"))
-        tests = parts.filter(F.col("_rn") > F.col("_cut")).withColumn("_place", F.pmod(F.col("_rn") - F.col("_cut") - 1, F.lit(season)))
-        scored = tests.join(tail, [*unit, "_place"])
+        values = F.transform(F.array_sort("_tail"), lambda s: s[target])
+        place = F.pmod(F.col("_rn") - F.col("_cut") - 1, F.lit(season)) - (F.lit(season) - F.size("_tail"))
+        seasonal = F.when(place >= 0, F.try_element_at(values, (place + 1).cast("int")))
+        scored = scored.withColumn("_p", F.coalesce(seasonal, drift))
     return fit_metrics(scored, target, "_p", 0, unit).select(*unit, F.col("observations").alias("test_size"), "mae", "mse", "rmse", "mape")

@@ -19,7 +19,9 @@ TREES = 200
 RATE = 0.05
 DEPTH = 6
 FOREST_TREES = 100
+FOREST_DEPTH = 30  # the deepest trees that Spark ML grows
 SEED = 42
+MISSING = 1e300
 
 
 def encode_features(df: DataFrame, features: Sequence[str], labels: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -30,31 +32,41 @@ def encode_features(df: DataFrame, features: Sequence[str], labels: DataFrame |
     return out, [f"{c}_code" if c in text else c for c in features]
 
 
+def gaps_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A missing value counts as greater than every other, so that a tree can split gaps off at its last threshold."""
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(MISSING)) for c in columns})
+
+
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
+    """One vector of the columns; fill gaps first (``gaps_filled``)."""
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="error").transform(df)
 
 
 def fit_gbt(df: DataFrame, target: str, columns: Sequence[str], trees: int = TREES, rate: float = RATE, depth: int = DEPTH, seed: int = SEED):
     """Gradient-boosted regression trees on numeric columns."""
     ensure_checkpoint_dir(df.sparkSession)
-    data = assemble(df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, target])]), columns)
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, target])]).na.drop(subset=[target])
+    data = assemble(gaps_filled(rows, columns), columns)
     learner = GBTRegressor(
         featuresCol="features", labelCol=target, maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, checkpointInterval=10
     )
     return learner.fit(data.select("features", target))
 
 
-def fit_forest(df: DataFrame, target: str, columns: Sequence[str], trees: int = FOREST_TREES, depth: int = DEPTH, seed: int = SEED):
-    """Random forest regression trees on numeric columns."""
+def fit_forest(df: DataFrame, target: str, columns: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED):
+    """Random forest regression trees on numeric columns, grown as deep as the learner allows unless ``depth`` is given."""
     ensure_checkpoint_dir(df.sparkSession)
-    data = assemble(df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, target])]), columns)
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, target])]).na.drop(subset=[target])
+    data = assemble(gaps_filled(rows, columns), columns)
     learner = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)
     return learner.fit(data.select("features", target))
 
 
 def predict_trees(df: DataFrame, model, columns: Sequence[str], name: str = "prediction") -> DataFrame:
     scorer = model.copy({model.featuresCol: "_features", model.predictionCol: name})
-    return scorer.transform(assemble(df, columns, "_features")).drop("_features")
+    filled = gaps_filled(df.select(*[F.col(c).alias(f"_x_{c}") for c in columns], *df.columns), [f"_x_{c}" for c in columns])
+    names = [f"_x_{c}" for c in columns]
+    return scorer.transform(assemble(filled, names, "_features")).drop("_features", *names)
 
 
 def tree_nodes(spark, model) -> tuple[pd.DataFrame, list[float]]:
@@ -166,7 +178,7 @@ def tree_shap(df: DataFrame, model, columns: Sequence[str], keep: Sequence[str],
         view = explainer.value
         for batch in batches:
             x = batch[[f"_x{i}" for i in range(len(names))]].to_numpy(dtype=float)
-            phi = view.explain(x)
+            phi = view.explain(np.where(np.isnan(x), MISSING, x))
             order = np.lexsort((np.broadcast_to(by_name, phi.shape), -np.abs(phi)), axis=1)
             position, total = np.empty(order.shape, dtype=np.int32), np.empty(phi.shape)
             np.put_along_axis(position, order, np.arange(1, len(names) + 1, dtype=np.int32)[None, :], axis=1)

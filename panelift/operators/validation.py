@@ -14,6 +14,7 @@ from panelift.session import spill
 
 TEST_SHARE = 0.2
 BUCKETS = 10_000
+REPEATS = 10
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], share: float = TEST_SHARE, seed: int = 42, name: str = "split") -> DataFrame:
@@ -151,9 +152,15 @@ def overfitting_alerts(metrics: DataFrame, r2_gap: float = 0.1, mae_ratio: float
     return metrics.select(*segment, "model", F.explode(found).alias("_a")).select(*segment, "model", "_a.alert", "_a.severity")
 
 
-def overall_risk(alerts: DataFrame, segment: Sequence[str] = ()) -> DataFrame:
-    """Overall overfitting risk from the alerts: high with two high ones, medium with one or two models."""
-    counted = alerts.groupBy(*segment).agg(
+def overall_risk(alerts: DataFrame, metrics: DataFrame, segment: Sequence[str] = ()) -> DataFrame:
+    """Overall overfitting risk of every segment of ``metrics``: high with two high alerts, medium with one or two models.
+
+    A segment without alerts has risk low.
+    """
+    rows = alerts.select(*segment, "model", "severity").unionByName(
+        metrics.select(*segment, F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("severity"))
+    )
+    counted = rows.groupBy(*segment).agg(
         F.count_if(F.col("severity") == "high").alias("high_alerts"), F.count_distinct("model").alias("models_with_alerts")
     )
     h, m = F.col("high_alerts"), F.col("models_with_alerts")
@@ -187,19 +194,26 @@ def with_permuted(df: DataFrame, columns: Sequence[str], key: str, seed: int = 4
     return rows.join(shuffled, "_i").select(*df.columns, *[f"_perm_{c}" for c in columns])
 
 
-def importance_permutation(df: DataFrame, actual: str, features: Sequence[str], key: str, score, seed: int = 42) -> DataFrame:
-    """Drop of R2 after shuffling each feature; ``score(frame)`` adds the column 'prediction'.
+def importance_permutation(
+    df: DataFrame, actual: str, features: Sequence[str], key: str, score, seed: int = 42, repeats: int = REPEATS
+) -> DataFrame:
+    """Drop of R2 after shuffling each feature: (feature, importance, importance_std, importance_rank).
 
-    ``key`` must be unique. One deterministic shuffle serves all features, each scored on its own.
+    ``score(frame)`` adds the column 'prediction'; ``key`` must be unique. The mean and the population standard
+    deviation are over ``repeats`` shuffles; a shuffle serves all features, which are scored in one
+    pass: every row is repeated once per feature with that feature replaced.
     """
-    rows = spill(with_permuted(df.select(*dict.fromkeys([key, actual, *features])), features, key, seed), "permuted")
-
-    def r2(frame: DataFrame) -> float:
-        e = F.col(actual) - F.col("prediction")
-        return score(frame).agg(1 - F.try_divide(F.avg(e * e), F.var_pop(actual))).first()[0]
-
-    base = r2(rows)
-    drops = [(c, base - r2(rows.withColumn(c, F.col(f"_perm_{c}")))) for c in features]
-    table = df.sparkSession.createDataFrame(drops, "feature string, importance double")
+    base_rows = df.select(*dict.fromkeys([key, actual, *features]))
+    e = F.col(actual) - F.col("prediction")
+    r2 = 1 - F.try_divide(F.avg(e * e), F.var_pop(actual))
+    base = score(base_rows).agg(r2).first()[0]
+    found = []
+    for turn in range(repeats):
+        rows = spill(with_permuted(base_rows, features, key, seed + turn), "permuted")
+        shuffled = rows.withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in features])))
+        swapped = shuffled.withColumns({c: F.when(F.col("_feature") == c, F.col(f"_perm_{c}")).otherwise(F.col(c)) for c in features})
+        found += [(r["_feature"], base - r["r2"]) for r in score(swapped).groupBy("_feature").agg(r2.alias("r2")).collect()]
+    drops = df.sparkSession.createDataFrame(found, "feature string, importance double")
+    table = drops.groupBy("feature").agg(F.avg("importance").alias("importance"), F.stddev_pop("importance").alias("importance_std"))
     # One row per feature.
     return table.withColumn("importance_rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))

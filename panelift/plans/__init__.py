@@ -8,5 +8,6 @@ from panelift.plans import (  # noqa: F401
     diagnostic_queries,
     report_queries,
     tree_queries,
+    edge_queries,
 )
 from panelift.plans.catalog import ORACLES, QUERIES  # noqa: F401

@@ -230,9 +230,11 @@ def _overfitting_alerts(t: Tables):
 
 @query("overall_risk", f"""
 with {ALERTS}, c as (select p_brand, count(*) filter (severity = 'high') as h, count(distinct model) as m from alerts group by p_brand)
-select p_brand, h as high_alerts, m as models_with_alerts, case when h >= 2 then 'high' when h >= 1 or m >= 2 then 'medium' else 'low' end as risk from c""")
+select p_brand, coalesce(h, 0) as high_alerts, coalesce(m, 0) as models_with_alerts, case when h >= 2 then 'high' when h >= 1 or m >= 2 then 'medium' else 'low' end as risk
+from (select distinct p_brand from gm) left join c using (p_brand)""")
 def _overall_risk(t: Tables):
-    return validation.overall_risk(validation.overfitting_alerts(guess_metrics(t), 0.01, 1.05, ["p_brand"]), ["p_brand"])
+    metrics = guess_metrics(t)
+    return validation.overall_risk(validation.overfitting_alerts(metrics, 0.01, 1.05, ["p_brand"]), metrics, ["p_brand"])
 
 
 @query("overfitting_risk", f"""

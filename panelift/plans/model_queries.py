@@ -195,12 +195,13 @@ def _propensity_score(t: Tables):
 
 # Matching on the balance itself, so that both engines see exactly equal scores.
 NEAREST = f"""{MATCH}, near as (
-  select *, last_value(case when treated = 0 then c_custkey end ignore nulls) over b as bk, last_value(case when treated = 0 then c_acctbal end ignore nulls) over b as bs, last_value(case when treated = 0 then spend end ignore nulls) over b as bo,
-    first_value(case when treated = 0 then c_custkey end ignore nulls) over a as ak, first_value(case when treated = 0 then c_acctbal end ignore nulls) over a as asc_, first_value(case when treated = 0 then spend end ignore nulls) over a as ao
+  select *, last_value(case when treated = 0 then c_custkey end ignore nulls) over b as bk, last_value(case when treated = 0 then c_acctbal end ignore nulls) over b as bs,
+    first_value(case when treated = 0 then c_custkey end ignore nulls) over a as ak, first_value(case when treated = 0 then c_acctbal end ignore nulls) over a as asc_
   from people window b as (order by c_acctbal, c_custkey rows between unbounded preceding and current row), a as (order by c_acctbal, c_custkey rows between current row and unbounded following)),
-matched as (select c_custkey, c_acctbal, spend, case when low then bk else ak end as match_key, case when low then bs else asc_ end as match_score, case when low then bo else ao end as match_spend,
+paired as (select c_custkey, c_acctbal, spend, case when low then bk else ak end as match_key, case when low then bs else asc_ end as match_score,
     case when low then c_acctbal - bs else asc_ - c_acctbal end as gap
-  from (select *, bk is not null and (ak is null or c_acctbal - bs <= asc_ - c_acctbal) as low from near where treated = 1))"""
+  from (select *, bk is not null and (ak is null or c_acctbal - bs <= asc_ - c_acctbal) as low from near where treated = 1)),
+matched as (select paired.*, people.spend as match_spend from paired left join people on people.c_custkey = match_key)"""
 
 
 def matches(t: Tables) -> DataFrame:

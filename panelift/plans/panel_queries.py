@@ -158,7 +158,8 @@ from visits left join weekly using (city, year, week)"""
 
 
 def full_panel(t: Tables):
-    return panel.build_panel(visits(t), ads(t), CLIENT, SUMS, COUNTS, BRANDS)
+    brands = panel.distinct_brands(t.part.select(F.col("p_brand").alias("brand")), CLIENT)
+    return panel.build_panel(visits(t), ads(t), CLIENT, SUMS, COUNTS, brands, t.orders.select(F.year("o_orderdate").alias("year")))
 
 
 @query("panel_join", _panel_sql())

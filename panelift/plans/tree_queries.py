@@ -1,7 +1,6 @@
 """Boosted trees, their attributions and the model comparison.
 
-The boosted model is fitted once per session and folder and shared by these queries. It has 50
-trees here to keep a check short; the library's default is 200.
+The boosted model is fitted once per session and folder and shared by these queries.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from panelift.session import spill
 FEATURES = ["l_quantity", "l_discount", "p_retailprice", "p_type"]
 TARGET = "l_extendedprice"
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
-CHECK_TREES = 50
 _FITTED: dict[tuple[str, str], tuple] = {}
 
 
@@ -27,7 +25,7 @@ def fitted(t: Tables) -> tuple[DataFrame, object, list[str]]:
         rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(*KEYS, TARGET, *FEATURES)
         encoded, columns = trees.encode_features(rows, FEATURES)
         stored = spill(encoded, "trees")
-        model = trees.fit_gbt(stored, TARGET, columns, trees=CHECK_TREES)
+        model = trees.fit_gbt(stored, TARGET, columns)
         _FITTED[key] = (trees.predict_trees(stored, model, columns), model, columns)
     return _FITTED[key]
 
@@ -75,4 +73,4 @@ def _importance_permutation(t: Tables):
 def _baseline_comparison(t: Tables):
     rows, _, columns = fitted(t)
     split = validation.hash_split(rows.drop("prediction"), KEYS)
-    return validation.baseline_comparison(split, TARGET, columns, forest_trees=100, boosted_trees=CHECK_TREES)
+    return validation.baseline_comparison(split, TARGET, columns, forest_trees=100, boosted_trees=100)

@@ -97,7 +97,7 @@ def test_permutation_importance_finds_the_driver(spark):
     df = df.withColumn("y", F.col("a") * 3)
     out = validation.importance_permutation(df, "y", ["a", "b"], "id", lambda f: f.withColumn("prediction", F.col("a") * 3))
     rows = {r.feature: r for r in out.collect()}
-    assert rows["a"].importance > 1 and rows["b"].importance == pytest.approx(0) and rows["a"].importance_rank == 1
+    assert rows["a"].importance > 1 and rows["a"].importance_std > 0 and rows["b"].importance == pytest.approx(0) and rows["a"].importance_rank == 1
 
 
 def test_hash_split_ignores_partitioning(spark):
@@ -119,7 +119,10 @@ def test_alert_rules(spark):
         ("medium", "high_r2_difference"): "medium", ("medium", "high_mae_ratio"): "medium",
         ("bad", "high_r2_difference"): "high", ("bad", "high_mae_ratio"): "high", ("bad", "suspicious_train_fit"): "high",
     }
-    assert validation.overall_risk(validation.overfitting_alerts(table)).first().risk == "high"
+    assert validation.overall_risk(validation.overfitting_alerts(table), table).first().risk == "high"
+    by_shop = table.withColumn("shop", F.when(F.col("model") == "fine", "a").otherwise("b"))
+    shops = validation.overall_risk(validation.overfitting_alerts(by_shop, segment=["shop"]), by_shop, ["shop"])
+    assert {r.shop: r.risk for r in shops.collect()} == {"a": "low", "b": "high"}
     risks = {r.model: (r.risk, r.factors) for r in validation.overfitting_risk(table, 20, F.lit(100.0)).collect()}
     assert risks["fine"] == ("low", "many_features") and risks["medium"][0] == "medium" and risks["bad"][0] == "high"
     grades = {r.model: r.grade for r in validation.graded(table).collect()}
