@@ -10,7 +10,9 @@ from panelift.plans.catalog import Tables, query, rd, rounded
 from panelift.operators.panel import brand_long
 from panelift.plans.diagnostic_queries import COL3, PAIRS, _vif_sql, corr_rows, pairs_of, vifs
 from panelift.plans.model_queries import people
-from panelift.plans.shared import ADS, HOURLY, ads, hourly
+from panelift.plans.shared import ADS, HOURLY, ads, hourly, two_feature_ols
+from panelift.session import scratch_path
+from panelift.sources import reports, tables
 
 # -- matching where outcomes are missing
 
@@ -226,3 +228,120 @@ def _brand_long(t: Tables):
 @query("distinct_frequency", f"with {DATED} select id as value, count(*) as n from dated where id is not null group by id")
 def _distinct_frequency(t: Tables):
     return frequency.value_counts(dated(t), ["id"], cast="bigint").select("value", "n")
+
+
+# -- files: broken rows, reports of one name in two folders, predictions beside reports, stored trees
+
+
+@query("load_broken", """
+select 'good' as kind, count(*) as n, sum(c_custkey)::bigint as keys from customer where c_custkey % 7 <> 0
+union all select 'broken', count(*), null from customer where c_custkey % 7 = 0""")
+def _load_broken(t: Tables):
+    path = scratch_path(t.spark, "broken")
+    balance = F.when(F.col("c_custkey") % 7 == 0, "not a number").otherwise(F.col("c_acctbal").cast("string"))
+    tables.write_csv(t.customer.select(F.col("c_custkey").alias("key"), balance.alias("balance")), path)
+    good, broken = tables.read_csv_checked(t.spark, path, "key long, balance double")
+    return good.agg(F.lit("good").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys")).unionByName(
+        broken.agg(F.lit("broken").alias("kind"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("keys"))
+    )
+
+
+def nation_reports(t: Tables):
+    """Report texts of every region: (file, text); the model is the region's number."""
+    rows = t.nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    body = F.to_json(F.struct(
+        F.struct(F.concat(F.lit("region_"), F.col("n_regionkey")).alias("model_name")).alias("report_metadata"),
+        F.struct(F.col("n").alias("total_observations")).alias("dataset_overview"), F.struct(F.col("n").alias("rows")).alias("model_configuration"),
+    ))
+    file = F.concat(F.lit("r"), F.col("n_regionkey"), F.lit(reports.REPORT_SUFFIX))
+    return rows.select(file.alias("file"), body.alias("text"))
+
+
+def written_reports(t: Tables):
+    """The same files in two folders, the second with one more nation each."""
+    folder = scratch_path(t.spark, "reports")
+    texts = nation_reports(t)
+    for place, change in (("a", F.col("text")), ("b", F.regexp_replace("text", r'"rows":(\d+)', '"rows":1$1'))):
+        for r in texts.select("file", change.alias("text")).collect():  # one small file per region
+            t.spark.createDataFrame([(r.text,)], "value string").coalesce(1).write.text(f"{folder}/{place}/{r.file}")
+    rows = t.spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    path = F.url_decode(F.col("_metadata.file_path"))
+    name = F.regexp_extract(path, r"/([^/]+\.json)/[^/]*$", 1)
+    return rows.select(name.alias("file"), path.alias("path"), F.col("value").alias("text"))
+
+
+@query("report_file_scan", "select 'r' || n_regionkey || '_comprehensive_report.json' as file, 'region_' || n_regionkey as model, f as folder from nation, (select unnest(['a', 'b']) as f) group by all")
+def _report_file_scan(t: Tables):
+    return reports.parse_reports(written_reports(t)).select("file", "model", F.regexp_extract("path", "/([ab])/", 1).alias("folder"))
+
+
+@query("combine_same_names", """
+select 'region_' || n_regionkey as model, 'model_configuration' as section, cast('1' || count(*) as bigint) as rows from nation group by n_regionkey
+union all select 'region_' || n_regionkey, 'report_metadata', null from nation group by n_regionkey union all select null, 'dataset_overview', null""")
+def _combine_same_names(t: Tables):
+    combined = reports.combine_reports(reports.parse_reports(written_reports(t)))
+    return combined.select("model", "section", F.get_json_object("content", "$.rows").cast("long").alias("rows"))
+
+
+def combined_with_predictions(t: Tables):
+    predictions = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("region_"), F.col("n_regionkey")).alias("model"), F.col("s_acctbal").alias("prediction"))
+    predictions = predictions.filter("model <> 'region_0'").unionByName(t.part.select(F.lit("extra").alias("model"), F.col("p_retailprice").alias("prediction")))
+    return reports.attach_predictions(reports.combine_reports(reports.parse_reports(nation_reports(t))), predictions)
+
+
+PREDICTED = "p as (select 'region_' || n_regionkey as model, s_acctbal as prediction from supplier join nation on s_nationkey = n_nationkey where n_regionkey <> 0 union all select 'extra', p_retailprice from part)"
+
+
+@query("combined_predictions", f"""
+with {PREDICTED} select model, 'predictions' as section, count(*) as total, {rd('avg(prediction)', 3, 'mean')}, {rd('stddev_samp(prediction)', 3, 'std')}, {rd('min(prediction)', 3, 'min')}, {rd('max(prediction)', 3, 'max')} from p group by model
+union all select 'region_' || n_regionkey, s, null, null, null, null, null from nation, (select unnest(['report_metadata', 'model_configuration']) as s) group by all
+union all select null, 'dataset_overview', null, null, null, null, null""")
+def _combined_predictions(t: Tables):
+    sections, _ = combined_with_predictions(t)
+    at = lambda path, kind: F.when(F.col("section") == "predictions", F.get_json_object("content", path)).cast(kind)
+    figures = [at(f"$.prediction_summary.{c}", "double").alias(c) for c in ("mean", "std", "min", "max")]
+    return rounded(sections.select("model", "section", at("$.total_predictions", "long").alias("total"), *figures), 3)
+
+
+@query("combined_metadata", f"""
+with {PREDICTED}, m as (select distinct model from p), r as (select distinct 'region_' || n_regionkey as model from nation)
+select (select string_agg(model, ',' order by model) from r) as combined_from, (select string_agg(model, ',' order by model) from m) as prediction_files,
+  (select count(*) from r) as total_models, (select count(*) from m) as total_prediction_sets""")
+def _combined_metadata(t: Tables):
+    _, metadata = combined_with_predictions(t)
+    return metadata.withColumns({c: F.array_join(c, ",") for c in ("combined_from", "prediction_files")})
+
+
+@query("model_store_trees", "select count(*) as rows, 0::bigint as differing, 'l_quantity,l_discount' as columns from lineitem")
+def _model_store_trees(t: Tables):
+    folder = scratch_path(t.spark, "models")
+    columns = ["l_quantity", "l_discount"]
+    model = trees.fit_gbt(t.lineitem, "l_extendedprice", columns, trees=3, depth=3)
+    tables.save_tree_model(model, columns, folder, "gbt")
+    again, names = tables.load_tree_model(t.spark, folder, "gbt")
+    both = trees.predict_trees(trees.predict_trees(t.lineitem, model, columns, "before"), again, names, "after")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") != F.col("after")).alias("differing"), F.lit(",".join(names)).alias("columns"))
+
+
+# -- p-values by numeric integration of the t density
+
+SMALL = """small as (select c_nationkey, avg(o_totalprice) as y, cast(count(*) as double) as x1, avg(c_acctbal) as x2 from orders join customer on o_custkey = c_custkey group by c_nationkey)"""
+
+
+@query("inference_p_values", f"""
+with {SMALL}, {two_feature_ols('small', 'y', 'x1', 'x2')}, s as (select *, sse / (n - 3) as s2, s11 * s22 - s12 * s12 as d, cast(n - 3 as double) as v from beta),
+e as (select 'intercept' as term, b0 as b, v, sqrt(s2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / (n * d))) as se from s
+  union all select 'x1', b1, v, sqrt(s2 * s22 / (n * d)) from s union all select 'x2', b2, v, sqrt(s2 * s11 / (n * d)) from s),
+q as (select term, b, v, abs(b / se) as t, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) as k from e),
+-- Simpson's rule over 0..t with 4000 steps
+i as (select term, any_value(b) as b, sum(case when j = 0 or j = 4000 then 1 when j % 2 = 1 then 4 else 2 end * k * (1 + (t * j / 4000) ** 2 / v) ** (-(v + 1) / 2)) * any_value(t) / 4000 / 3 as half
+  from q, (select unnest(range(0, 4001)) as j) group by term),
+p as (select term, b, greatest(0.0, 1 - 2 * half) as p from i)
+select term, {rd('p', 6, 'p_value')}, p < 0.05 as significant, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as stars,
+  case when b > 0 then 'positive_effect' else 'negative_effect' end as direction from p""")
+def _inference_p_values(t: Tables):
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(
+        F.avg("o_totalprice").alias("y"), F.count(F.lit(1)).cast("double").alias("x1"), F.avg("c_acctbal").alias("x2")
+    )
+    out = linear.inference(t.spark, linear.fit_ols(rows, "y", ["x1", "x2"]))
+    return rounded(out.select("term", "p_value", "significant", "stars", "direction"), 6)

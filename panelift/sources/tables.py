@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelift.functions.columns import nan_to_null, standardize_columns, union_by_name
 from panelift.operators.ordered import add_row_id
+from panelift.session import spill
 
 logger = logging.getLogger(__name__)
 CORRUPT = "_corrupt_record"
@@ -24,6 +25,22 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return reader.option("inferSchema", True).csv(path)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good rows, broken rows) of a CSV file or folder.
+
+    A row is broken if a value does not fit its type or the number of values does not fit the header. Broken
+    rows come as (file, record) with their original text. Without a schema the types are inferred first.
+    """
+    if schema is None:
+        schema = ", ".join(f"`{c}` {t}" for c, t in read_csv(spark, path).dtypes)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    file = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
+    # parsed once and stored: Spark does not read the record column alone from raw files
+    rows = spill(reader.schema(f"{schema}, {CORRUPT} string").csv(path).withColumn("_file", file), "csv")
+    broken = rows.filter(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("record"))
+    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"), broken
+
+
 def load_files(
     spark: SparkSession, paths: Sequence[str], schema: str | None = None, order_by: Sequence[str] | None = None
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -99,6 +116,23 @@ def save_model_tables(coefficients: DataFrame, predictions: DataFrame, folder: s
     predictions.write.mode("overwrite").parquet(f"{base}/predictions")
 
 
+def save_tree_model(model, columns: Sequence[str], folder: str, name: str) -> None:
+    """A fitted tree ensemble in Spark ML's own format, with its column names beside it."""
+    base = f"{folder.rstrip('/')}/{name}"
+    model.write().overwrite().save(f"{base}/trees")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "place int, name string").write.mode("overwrite").parquet(f"{base}/columns")
+
+
+def load_tree_model(spark: SparkSession, folder: str, name: str):
+    """(model, columns) as saved, boosted or forest."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    base = f"{folder.rstrip('/')}/{name}"
+    model = DefaultParamsReader.loadParamsInstance(f"{base}/trees", spark)
+    return model, [r.name for r in spark.read.parquet(f"{base}/columns").orderBy("place").collect()]
+
+
 def load_model_tables(spark: SparkSession, folder: str, model: str) -> tuple[DataFrame, DataFrame]:
     base = f"{folder.rstrip('/')}/{model}"
     return spark.read.parquet(f"{base}/coefficients"), spark.read.parquet(f"{base}/predictions")
