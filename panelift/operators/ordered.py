@@ -46,10 +46,11 @@ class Sliced:
         self.unit = list(unit)
         self.columns = list(data_columns)
         self.spark = frame.sparkSession
-        # One row per slice: bounded by the number of range partitions.
-        self.sizes = sorted(
-            (r["_slice"], r["n"]) for r in frame.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()
-        )
+        # One row per slice: bounded by the number of range partitions. Its first and last unit come along.
+        ends = [f(F.struct(*self.unit), "_pos").alias(n) for n, f in (("first", F.min_by), ("last", F.max_by))] if self.unit else []
+        rows = sorted(frame.groupBy("_slice").agg(F.count(F.lit(1)).alias("n"), *ends).collect(), key=lambda r: r["_slice"])
+        self.sizes = [(r["_slice"], r["n"]) for r in rows]
+        self._ends = [(r["_slice"], tuple(r["first"]), tuple(r["last"])) if self.unit else (r["_slice"], (), ()) for r in rows]
 
     @property
     def row_count(self) -> int:
@@ -58,19 +59,11 @@ class Sliced:
     def _crossing(self) -> DataFrame | None:
         """(slice, unit) pairs whose unit goes on in the next slice or comes from the one before.
 
-        Read off the first and last row of each slice; None when no unit crosses a border.
+        Read off the first and last unit of each slice; None when no unit crosses a border.
         """
         if not hasattr(self, "_pairs"):
-            ends = {}
-            if self.unit and len(self.sizes) > 1:
-                wanted = [(s, (s << _SHIFT) + at) for s, n in self.sizes for at in {0, n - 1}]
-                places = self.spark.createDataFrame(wanted, "_s int, _pos long")
-                rows = self.frame.join(F.broadcast(places), "_pos").select("_slice", "_pos", *self.unit).collect()
-                for r in rows:
-                    ends[r["_pos"]] = tuple(r[c] for c in self.unit)
             pairs = set()
-            for (a, n), (b, _) in zip(self.sizes, self.sizes[1:]):
-                left, right = ends.get((a << _SHIFT) + n - 1, ()), ends.get(b << _SHIFT, ())
+            for (a, _, left), (b, right, _) in zip(self._ends, self._ends[1:]):
                 if all(x == y or (x != x and y != y) for x, y in zip(left, right)):
                     pairs |= {(a, left), (b, right)}
             self._pairs = [(s, *u) for s, u in pairs]
