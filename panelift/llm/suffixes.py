@@ -389,10 +389,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.unhex(F.md5("text")))
+    # never null, so that no join adds a filter that would keep it from sharing the exchange of texts
+    docs = docs.withColumn("key", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("text").alias("text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     grams = texts.mapInArrow(_gram_batches(buckets, length), "bucket long, grams binary, rows binary, keys binary")
     named = grams.groupBy("bucket").applyInArrow(_repeated, "key binary, grams binary")
