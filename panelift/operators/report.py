@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelift.operators.causal import did_effect, did_effect_size, did_fit
 from panelift.operators.correlation import correlation_matrix
 from panelift.operators.collinearity import vif
+from panelift.operators.design import cell_means, crosstab, did_balance
 from panelift.operators.linear import (
     contribution_summary,
     fit_metrics,
@@ -21,6 +23,7 @@ from panelift.operators.linear import (
 )
 from panelift.operators.missing import missing_summary
 from panelift.operators.profiling import describe_full
+from panelift.operators.trees import shap_importance
 
 
 def section(df: DataFrame, name: str, item: str | None = None) -> DataFrame:
@@ -73,3 +76,54 @@ def as_json(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     sections = items.groupBy(*keys, "section").agg(entry("item", F.col("_metrics")).alias("_items"))
     whole = sections.groupBy(*keys).agg(entry("section", F.col("_items")).alias("_sections"))
     return whole.select(*keys, F.to_json("_sections", {"ignoreNullFields": "false"}).alias("report"))
+
+
+def predictions_sections(predictions: DataFrame, actual: str | None = None, predicted: str = "prediction", features: int = 0) -> list[DataFrame]:
+    """Number and distribution of predictions, and their fit where actual values are given."""
+    figures = predictions.agg(
+        F.count(predicted).alias("prediction_count"), F.avg(predicted).alias("mean"), F.stddev_samp(predicted).alias("std"),
+        F.min(predicted).alias("min"), F.max(predicted).alias("max"),
+    )
+    parts = [section(figures, "predictions_summary")]
+    return parts if actual is None else [*parts, section(fit_metrics(predictions, actual, predicted, features), "model_performance")]
+
+
+def did_report(df: DataFrame, target: str, features: Sequence[str] = ()) -> DataFrame:
+    """Design, effect and its size, coefficients and cell means of a difference-in-differences model."""
+    fit, rows = did_fit(df, target, features)
+    effect = did_effect(df.sparkSession, fit)
+    cells = crosstab(df).withColumn("cell", F.concat_ws("|", F.concat(F.lit("treated="), F.col("treated")), F.concat(F.lit("post="), F.col("post"))))
+    means = cell_means(df, target).withColumn("post", F.concat(F.lit("post="), F.col("post")))
+    return stack_sections(
+        [
+            section(cells.select("cell", "n", "low_cell"), "design", "cell"),
+            section(did_balance(df), "design_balance"),
+            section(means, "cell_means", "post"),
+            section(effect, "effect"),
+            section(did_effect_size(effect, rows, target), "effect_size"),
+            section(inference(df.sparkSession, fit), "coefficients", "term"),
+        ]
+    )
+
+
+def shap_report(attributions: DataFrame, importance: DataFrame, scored: DataFrame, actual: str) -> DataFrame:
+    """Importance by attribution and by split, base value and fit of a tree model."""
+    base = attributions.agg(F.max("base_value").alias("base_value"), F.count_distinct("feature").alias("features"))
+    return stack_sections(
+        [
+            section(shap_importance(attributions), "shap_importance", "feature"),
+            section(importance, "tree_importance", "feature"),
+            section(base, "attribution"),
+            *predictions_sections(scored, actual),
+        ]
+    )
+
+
+def series_report(history_and_forecast: DataFrame, metrics: DataFrame, unit: str, diagnostics: Sequence[DataFrame] = ()) -> DataFrame:
+    """Rows and range of the forecast, holdout errors and any per-unit diagnostics of a series model, by unit."""
+    ranges = history_and_forecast.groupBy(unit).agg(
+        F.count_if(F.col("data_type") == "historical").alias("historical"), F.count_if(F.col("data_type") == "forecast").alias("forecast"),
+        F.min(F.when(F.col("data_type") == "forecast", F.col("lower"))).alias("lowest"), F.max(F.when(F.col("data_type") == "forecast", F.col("upper"))).alias("highest"),
+    )
+    parts = [section(ranges, "forecast", unit), section(metrics, "holdout", unit)]
+    return stack_sections([*parts, *[section(d, f"diagnostics_{i + 1}", unit) for i, d in enumerate(diagnostics)]])

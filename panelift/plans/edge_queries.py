@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelift.functions.columns import recode_values
-from panelift.operators import causal, collinearity, correlation, design, frequency, gram, linear, missing, ordered, profiling, series, trees
+from panelift.operators import causal, collinearity, correlation, design, frequency, gram, linear, missing, ordered, profiling, report, series, trees
 from panelift.plans.catalog import Tables, query, rd, rounded
 from panelift.operators.panel import brand_long
 from panelift.plans.diagnostic_queries import COL3, PAIRS, _vif_sql, corr_rows, pairs_of, vifs
-from panelift.plans.model_queries import people
+from panelift.plans.model_queries import DID, did_orders, people
 from panelift.plans.shared import ADS, HOURLY, ads, hourly, two_feature_ols
 from panelift.session import scratch_path
 from panelift.sources import reports, tables
@@ -345,3 +345,65 @@ def _inference_p_values(t: Tables):
     )
     out = linear.inference(t.spark, linear.fit_ols(rows, "y", ["x1", "x2"]))
     return rounded(out.select("term", "p_value", "significant", "stars", "direction"), 6)
+
+
+# -- reports of other models, numbers rounded for the comparison
+
+def figures(report):
+    """(section, item, metric, number): the numeric metrics of a report, rounded."""
+    number = F.round(F.col("value").try_cast("double"), 4)
+    return report.select("section", "item", "metric", number.alias("number")).filter("number is not null")
+
+
+def long_sql(name: str, rows: str, item: str, metrics: dict[str, str]) -> str:
+    return " union all ".join(f"select '{name}' as section, {item} as item, '{m}' as metric, {rd(f'cast({e} as double)', 4)} as number from {rows}" for m, e in metrics.items())
+
+
+@query("model_report_did", f"""
+with {DID}, ct as (select coalesce('treated=' || cast(treated as varchar), 'treated=All') || '|' || coalesce('post=' || cast(post as varchar), 'post=All') as cell, count(*) as n from flagged group by cube (treated, post)),
+b as (select min(n) as lo, max(n) as hi from (select count(*) as n from flagged group by treated, post)),
+cm as (select 'post=' || post as post, avg(o_totalprice) filter (treated = 0) as c, avg(o_totalprice) filter (treated = 1) as t from flagged group by post)
+{long_sql('design', 'ct', 'cell', {'n': 'n'})}
+union all {long_sql('design_balance', 'b', "'all'", {'min_cell': 'lo', 'max_cell': 'hi', 'balance_ratio': 'lo * 1.0 / hi'})}
+union all {long_sql('cell_means', 'cm', 'post', {'control_mean': 'c', 'treated_mean': 't'})}
+union all {long_sql('effect', 'did, w, tot', "'all'", {'ate': 'ate', 'r_squared': '1 - sse / sst', 'observations': 'n'})}
+union all {long_sql('effect_size', 'did, tot', "'all'", {'ate': 'ate', 'effect_size': 'abs(ate) / sd'})}""")
+def _model_report_did(t: Tables):
+    out = figures(report.did_report(did_orders(t), "o_totalprice", ["c_acctbal"]))
+    tested = {"effect": ("ate", "r_squared", "observations"), "effect_size": ("ate", "effect_size")}
+    keep = F.lit(True)
+    for name, metrics in tested.items():
+        keep = keep & ((F.col("section") != name) | F.col("metric").isin(*metrics))
+    return out.filter(keep & (F.col("section") != "coefficients"))
+
+
+@query("model_report_shap", f"""
+with {STUMP}, s as (select y, x, case when x <= v then low else high end as p, (select sum(case when x <= v then low else high end) / count(*) from rows, best) as b from rows, best)
+{long_sql('shap_importance', "(select avg(abs(p - b)) as i, min(p - b) as lo, max(p - b) as hi, count(*) filter (p > b) as pos, count(*) filter (p < b) as neg from s)", "'x'",
+  {'mean_abs_shap': 'i', 'min': 'lo', 'max': 'hi', 'positive': 'pos', 'negative': 'neg', 'importance_rank': '1', 'importance_percent': '100'})}
+union all {long_sql('tree_importance', '(select 1.0 as i)', "'x'", {'importance': 'i', 'importance_rank': 'i', 'importance_percent': '100'})}
+union all {long_sql('attribution', '(select any_value(b) as b from s)', "'all'", {'base_value': 'b', 'features': '1'})}
+union all {long_sql('predictions_summary', '(select count(p) as n, avg(p) as m, stddev_samp(p) as d, min(p) as lo, max(p) as hi from s)', "'all'", {'prediction_count': 'n', 'mean': 'm', 'std': 'd', 'min': 'lo', 'max': 'hi'})}
+union all {long_sql('model_performance', '(select count(*) as n, 1 - avg((y - p) ** 2) / var_pop(y) as r, avg(abs(y - p)) as a, sqrt(avg((y - p) ** 2)) as q from s)', "'all'", {'observations': 'n', 'r_squared': 'r', 'mae': 'a', 'rmse': 'q'})}""")
+def _model_report_shap(t: Tables):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("y"), F.when(F.col("l_orderkey") % 6 != 0, F.col("l_linenumber")).alias("x"))
+    model = trees.fit_gbt(rows, "y", ["x"], trees=1, rate=1.0, depth=1)
+    attributions = trees.tree_shap(rows, model, ["x"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    scored = trees.predict_trees(rows, model, ["x"])
+    out = figures(report.shap_report(attributions, trees.importance_tree(t.spark, model, ["x"]), scored, "y"))
+    keep = (F.col("section") != "model_performance") | F.col("metric").isin("observations", "r_squared", "mae", "rmse")
+    return out.filter(keep & ((F.col("section") != "shap_importance") | ~F.col("metric").isin("mean", "std", "neutral", "concentration")))
+
+
+@query("model_report_series", f"""
+with {HOURLY}, o as (select *, row_number() over (partition by event_type order by hour) as rn, floor(0.8 * count(*) over (partition by event_type)) as cut from hourly),
+ends as (select event_type, max(value) filter (rn = cut) as last, (max(value) filter (rn = cut) - max(value) filter (rn = 1)) / (any_value(cut) - 1) as slope from o group by event_type),
+s as (select o.event_type, value as y, last + (rn - cut) * slope as p from o join ends using (event_type) where rn > cut),
+h as (select event_type, count(*) as n, avg(abs(y - p)) as a, avg((y - p) ** 2) as q from s group by event_type), f as (select event_type, count(*) as n from hourly group by event_type)
+{long_sql('forecast', 'f', 'event_type', {'historical': 'n', 'forecast': '12'})}
+union all {long_sql('holdout', 'h', 'event_type', {'test_size': 'n', 'mae': 'a', 'mse': 'q', 'rmse': 'sqrt(q)'})}""")
+def _model_report_series(t: Tables):
+    rows = hourly(t).drop("n")
+    both = series.forecast(rows, "hour", "value", 12, ["event_type"], step=3600)
+    out = figures(report.series_report(both, series.holdout_metrics(rows, "hour", "value", ["event_type"]), "event_type"))
+    return out.filter(~F.col("metric").isin("lowest", "highest", "mape"))
