@@ -14,18 +14,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round every node hooks to the neighbour (or itself) of lowest rank and the edges are
     rewritten to those targets, so the graph shrinks by a constant factor. Ranks are hashes, so long
     sorted chains shrink as fast as stars. A round is written to the shared folder: lost executors cost
-    at most one round. Grouped minima combine before the shuffle, so a hub is no hot task.
+    at most one round. Grouped minima combine before the shuffle and the joins stand between plain exchanges,
+    where Spark may split a hub's edges, so a hub is no hot task.
     Edges with a null end and loops are ignored (a loop alone still names its node).
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    graph = spill(both, "edges")
+    graph = spill(edges.distinct(), "edges")
     labels = None
     turn = 0
     while True:
         turn += 1
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
-        hooks = graph.groupBy("a").agg(F.least(rank("a"), F.min(rank("b")))["v"].alias("to"))
+        both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = spill(both.groupBy("a").agg(F.least(rank("a"), F.min(rank("b")))["v"].alias("to")), "hooks")
         if labels is None:
             labels = hooks.select(F.col("a").alias("node"), F.col("to").alias("label"))
         else:
