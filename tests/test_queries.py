@@ -3,9 +3,9 @@
 import duck
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from panelift.plans import ORACLES, QUERIES
 
-QUERIES, ORACLES = queries(), oracle_sql()
 TREES = {"gbt_fit", "tree_shap", "shap_importance", "shap_waterfall", "importance_tree", "importance_permutation", "baseline_comparison"}
 
 
