@@ -16,23 +16,10 @@ DATE_WORDS = ("date", "time", "timestamp", "created", "updated", "day", "month",
 PARSE_SHARE = 0.7
 
 
-EXPRESSIONS_PER_SCAN = 300
-
-
 def _tidy(df: DataFrame, per_column: dict[str, list[Column]]) -> DataFrame:
-    """Aggregate once and turn the result into one row per column.
-
-    Very wide tables are taken in blocks of columns, so that no single plan gets out of hand.
-    """
-    items = list(per_column.items())
-    width = max(1, EXPRESSIONS_PER_SCAN // max(len(exprs) for _, exprs in items))
-    out = None
-    for start in range(0, len(items), width):
-        block = items[start : start + width]
-        packed = df.agg(*[F.struct(F.lit(c).alias("variable"), *exprs).alias(f"_p{i}") for i, (c, exprs) in enumerate(block)])
-        rows = packed.select(F.inline(F.array(*[f"_p{i}" for i in range(len(block))])))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Aggregate in one scan and turn the result into one row per column."""
+    packed = df.agg(*[F.struct(F.lit(c).alias("variable"), *exprs).alias(f"_p{i}") for i, (c, exprs) in enumerate(per_column.items())])
+    return packed.select(F.inline(F.array(*[f"_p{i}" for i in range(len(per_column))])))
 
 
 def describe_basic(df: DataFrame, columns: Sequence[str]) -> DataFrame:
