@@ -61,11 +61,11 @@ def test_empty_and_constant_columns(spark):
     assert totals.total_value == 0 and totals.roi_percent == 0
 
 
-def test_wide_tables_are_profiled_in_blocks(spark, monkeypatch):
-    df = spark.createDataFrame([tuple(range(7)), tuple(range(1, 8))], [f"c{i}" for i in range(7)])
-    whole = sorted(profiling.profile_numeric(df, df.columns).collect())
-    monkeypatch.setattr(profiling, "EXPRESSIONS_PER_SCAN", 50)
-    assert sorted(profiling.profile_numeric(df, df.columns).collect()) == whole and len(whole) == 7
+def test_wide_tables_are_described_in_one_scan(spark):
+    df = spark.range(50).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(80)])
+    out = profiling.describe_basic(df, df.columns)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert sorted((r.variable, r.min, r.max) for r in out.collect()) == sorted((f"c{i}", float(i), 49.0 + i) for i in range(80))
 
 
 def test_profile_of_one_table(spark):
