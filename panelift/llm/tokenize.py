@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -117,6 +118,8 @@ class Transducer:
 
     def merged(self, part: str) -> list[str]:
         """The pieces that merging in score order leaves (leftmost first among equals)."""
+        if len(part) > 64:
+            return self._merged_long(part)
         out = list(part)
         while True:
             best = max(((self.scores.get(a + b, -math.inf), -i) for i, (a, b) in enumerate(zip(out, out[1:]))), default=(-math.inf, 0))
@@ -125,6 +128,35 @@ class Transducer:
             i = -best[1]
             out[i : i + 2] = [out[i] + out[i + 1]]
 
+    def _merged_long(self, part: str) -> list[str]:
+        """``merged`` with a heap of neighbours, for parts of any length."""
+        parts: list[str | None] = list(part)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        waiting = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts):
+                both = parts[i] + parts[j]
+                if both in self.scores:
+                    heapq.heappush(waiting, (-self.scores[both], i, both))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while waiting:
+            _, i, both = heapq.heappop(waiting)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            if before[i] >= 0:
+                offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
+
     def _spine(self, piece: str, right: bool) -> list[tuple[str, float]] | None:
         """(part, rank of the merge that swallows it) at one edge of a piece, from its character up.
 

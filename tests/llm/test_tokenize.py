@@ -30,6 +30,16 @@ def test_same_ids_as_the_library(both):
         assert machine.decode(ids) == library.decode(ids)
 
 
+def test_long_parts(both):
+    machine, library = both
+    rng = random.Random(7)
+    for text in (" " * 5000 + "the end", " " * 333, "a" * 3000, "".join(rng.choice("abcde ") for _ in range(5000)).replace(" ", "   ")):
+        assert machine.encode(text) == library.encode(text)
+    assert machine.decode(machine.encode(" " * 200_000 + "x")) == " " * 200_000 + "x"
+    letters = "".join(rng.choice("abcdefgh") for _ in range(64))
+    assert machine._merged_long(letters) == machine.merged(letters)
+
+
 def test_broken_bytes_decode(both):
     machine, library = both
     assert machine.decode([machine.bytes[0xF0], machine.bytes[0x9F]]) == "�" == library.decode([machine.bytes[0xF0], machine.bytes[0x9F]])[:1]
