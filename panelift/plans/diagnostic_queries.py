@@ -24,9 +24,10 @@ def scored(t: Tables) -> DataFrame:
 @query("ols_summary", f"""
 with {LINE_OLS}, s as (select n, 1 - sse / sst as r2, sse, sst, -n / 2.0 * (ln(2 * pi()) + ln(sse / n) + 1) as llf from beta)
 select n as observations, {rd('r2', 10, 'r_squared')}, {rd('1 - (1 - r2) * (n - 1) / (n - 3)', 10, 'adjusted_r_squared')}, {rd('((sst - sse) / 2) / (sse / (n - 3))', 6, 'f_statistic')},
-  {rd('llf', 3, 'log_likelihood')}, {rd('6 - 2 * llf', 3, 'aic')}, {rd('3 * ln(n) - 2 * llf', 3, 'bic')} from s""")
+  -- with two numerator degrees of freedom the upper tail has a closed form
+  {rd('(1 + (sst - sse) / sse) ** (-(n - 3) / 2.0)', 8, 'f_pvalue')}, {rd('llf', 3, 'log_likelihood')}, {rd('6 - 2 * llf', 3, 'aic')}, {rd('3 * ln(n) - 2 * llf', 3, 'bic')} from s""")
 def _ols_summary(t: Tables):
-    out = linear.ols_summary(t.spark, line_fit(t)).drop("f_pvalue")
+    out = rounded(linear.ols_summary(t.spark, line_fit(t)), 8, "f_pvalue")
     return rounded(rounded(rounded(out, 10, "r_squared", "adjusted_r_squared"), 6, "f_statistic"), 3, "log_likelihood", "aic", "bic")
 
 

@@ -407,3 +407,26 @@ def _model_report_series(t: Tables):
     both = series.forecast(rows, "hour", "value", 12, ["event_type"], step=3600)
     out = figures(report.series_report(both, series.holdout_metrics(rows, "hour", "value", ["event_type"]), "event_type"))
     return out.filter(~F.col("metric").isin("lowest", "highest", "mape"))
+
+
+@query("f_test_small", f"""
+with {SMALL}, {two_feature_ols('small', 'y', 'x1', 'x2')}
+select {rd('((sst - sse) / 2) / (sse / (n - 3))', 6, 'f_statistic')}, {rd('(1 + (sst - sse) / sse) ** (-(n - 3) / 2.0)', 6, 'f_pvalue')} from beta""")
+def _f_test_small(t: Tables):
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(
+        F.avg("o_totalprice").alias("y"), F.count(F.lit(1)).cast("double").alias("x1"), F.avg("c_acctbal").alias("x2")
+    )
+    return rounded(linear.ols_summary(t.spark, linear.fit_ols(rows, "y", ["x1", "x2"])).select("f_statistic", "f_pvalue"), 6)
+
+
+@query("shap_adds_up", "select count(*) as rows, count(*) as adding_up from lineitem")
+def _shap_adds_up(t: Tables):
+    """A forest of several deep trees: base value and contributions of a row add up to its prediction."""
+    columns = ["l_quantity", "l_discount", "l_tax"]
+    model = trees.fit_gbt(t.lineitem, "l_extendedprice", columns, trees=10, rate=0.3, depth=5)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    scored = trees.predict_trees(t.lineitem.select(*keys, *columns), model, columns)
+    parts = trees.tree_shap(scored, model, columns, [*keys, "prediction"])
+    sums = parts.groupBy(*keys, "prediction").agg((F.sum("contribution") + F.max("base_value")).alias("total"), F.count(F.lit(1)).alias("n"))
+    rows = F.sum(F.col("n") / len(columns)).cast("long")
+    return sums.agg(rows.alias("rows"), F.sum(F.when(F.abs(F.col("total") - F.col("prediction")) < 1e-6 * F.abs("prediction"), F.col("n") / len(columns))).cast("long").alias("adding_up"))
