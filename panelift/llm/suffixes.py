@@ -22,6 +22,7 @@ from panelift.llm.text import prefix_sums, slices, span_hash
 
 LENGTH = 100
 GRAM = 24
+SORT_BYTES = 1 << 21
 #: Perfect difference cover: every residue modulo PERIOD is a difference of two members.
 COVER, PERIOD = (1, 5, 11, 24, 25, 27), 31
 _SHIFT = np.array([min(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
@@ -320,10 +321,13 @@ def _bucket_spans(table: pa.Table, length: int) -> pa.Table:
         alone[1:] &= ~equal
         alone[:-1] &= ~equal
     # a lone segment can still repeat itself only through another place of its k-gram, which is another segment
-    kept = np.sort(kept[~alone])
-    if len(kept):
-        marks = _later([texts[i] for i in kept], _gram_places([texts[i] for i in kept], head["gram"][kept], min(GRAM, length)), head["count"][kept].astype(np.int64), np.arange(len(kept)), length)
-        for i, mark in zip(kept, marks):
+    kept, grams = kept[~alone], grams[~alone]
+    for part in _chunks(grams, [len(texts[i]) for i in kept]):
+        some = np.sort(kept[part])
+        own = [texts[i] for i in some]
+        places = _gram_places(own, head["gram"][some], min(GRAM, length))
+        marks = _later(own, places, head["count"][some].astype(np.int64), np.arange(len(some)), length)
+        for i, mark in zip(some, marks):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
             rows.append(np.full(len(edge) // 2, head["row"][i]))
             low.append(head["start"][i] + edge[::2])
@@ -335,6 +339,17 @@ def _bucket_spans(table: pa.Table, length: int) -> pa.Table:
     return pa.concat_tables([pa.Table.from_batches([found]), _named(named, "spans")])
 
 
+def _chunks(grams: np.ndarray, sizes: list[int]) -> Iterator[slice]:
+    """Runs of whole k-grams (``grams`` is sorted) of about SORT_BYTES of text: what one sort holds at a time."""
+    ends = np.flatnonzero(np.append(grams[1:] != grams[:-1], True)) + 1 if len(grams) else np.zeros(0, int)
+    total = np.cumsum(sizes) if len(sizes) else np.zeros(0, int)
+    low = 0
+    for end, nxt in zip(ends, [*ends[1:], None]):
+        if nxt is None or total[nxt - 1] - (total[low - 1] if low else 0) > SORT_BYTES:
+            yield slice(low, end)
+            low = end
+
+
 def _gram_places(texts: list[bytes], grams: np.ndarray, gram: int) -> np.ndarray:
     """Where the named k-gram stands (first) in each text."""
     data = np.frombuffer(b"".join(texts), np.uint8)
