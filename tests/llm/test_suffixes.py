@@ -54,6 +54,24 @@ def test_shared_passages_and_periods(spark, length):
     assert result(spark, rows, length) == brute(rows, length)
 
 
+def test_many_batches_and_small_sorts(spark, data, monkeypatch):
+    monkeypatch.setattr(suffixes, "SORT_BYTES", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+        assert result(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_chunks_keep_grams_whole():
+    grams = np.array([1, 1, 2, 3, 3, 3, 9])
+    parts = list(suffixes._chunks(grams, [suffixes.SORT_BYTES // 2] * 7))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(7))
+    assert all(p.stop == 7 or grams[p.stop - 1] != grams[p.stop] for p in parts) and len(parts) > 2
+    assert list(suffixes._chunks(grams[:0], [])) == []
+
+
 def test_suffixes_come_sorted():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 700).astype(np.uint8)
