@@ -1,4 +1,4 @@
-"""License scan: phrases at word positions, and an exact containment join of text blocks with templates."""
+"""License scan: phrases at word positions, and an exact containment join of text blocks and word runs with templates."""
 
 from __future__ import annotations
 
@@ -123,15 +123,52 @@ def template_blocks(
     return kept.where("_overlap >= need").drop("need", "_overlap")
 
 
+def template_windows(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
+    """(keys, label, containment) of every template of whose words some run of words holds at least ``threshold``.
+
+    Runs go over line ends, so wrapped notices count; they are a quarter and two words longer than the
+    template, for the words of comment signs. Containment is the largest of all runs of the text. Only texts with enough
+    template words at all are looked at by place: each run begins with a template word, and counts are exact.
+    """
+    sets = []
+    for label, words in templates:
+        distinct = sorted(set(words.split(" ")))
+        n = len(words.split(" "))
+        sets.append((label, distinct, math.ceil(threshold * len(distinct) - 1e-9), n + n // 4 + 2))
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, words, _, _ in sets for w in words})])
+    words = F.split(F.regexp_replace(_lower(F.col(text)), BETWEEN, " "), " ")
+    out = docs.select(*keys, words.alias("_words")).withColumn("_held", F.array_intersect(vocabulary, F.array_distinct("_words")))
+    possible = []
+    for label, own, need, run in sets:
+        own = F.array(*[F.lit(w) for w in own])
+        x = F.struct(F.lit(label).alias("label"), own.alias("own"), F.lit(need).alias("need"), F.lit(run).alias("run"))
+        possible.append(F.when(F.size(F.array_intersect("_held", own)) >= need, x))
+    out = out.where(F.size("_held") > 0).select(*keys, "_words", F.explode(F.filter(F.array(*possible), lambda x: x.isNotNull())).alias("_t"))
+    # exploding single arrays keeps later steps from computing them again for each element
+    full = F.filter("_words", lambda w: w != "")
+    placed = F.transform(full, lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    hits = F.filter(placed, lambda x: F.array_contains(F.col("_t.own"), x["w"]))
+    out = out.select(*keys, "_t", F.explode(F.array(hits)).alias("_hits"))
+
+    def held(x: Column, k: Column) -> Column:
+        run = F.filter(F.slice("_hits", k + 1, F.col("_t.run")), lambda y: y["at"] < x["at"] + F.col("_t.run"))
+        return F.size(F.array_distinct(F.transform(run, lambda y: y["w"])))
+
+    out = out.select(*keys, "_t", F.explode(F.array(F.array_max(F.transform("_hits", held)))).alias("_most"))
+    out = out.where(F.col("_most") >= F.col("_t.need"))
+    return out.select(*keys, "_t.label", (F.col("_most").cast("double") / F.size("_t.own")).alias("containment"))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``labels`` adds the labels of matching templates; ``score`` is 1 with a base phrase, else the
+    ``labels`` adds the labels of templates that match a line or a run of words over line ends; ``score`` is 1 with a base phrase, else the
     largest containment of a matching template, else 0. Documents are told apart by id and text, so
     repeated ids are safe and repeated rows get the same result each.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_text_key"))
-    found = template_blocks(docs, ["doc_id", "_text_key"])
+    keys = ["doc_id", "_text_key"]
+    found = template_blocks(docs, keys).drop("block").unionByName(template_windows(docs, keys))
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key")).agg(
         F.collect_set("label").alias("_more"), F.max("containment").alias("_best")
     )

@@ -185,6 +185,25 @@ def test_license_labels(spark):
     assert rows[10].n_words == 0 and rows[10].first_word is None and rows[10].labels == ""
 
 
+WRAPPED = [
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"),
+    ("mpl-2.0", " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed"),
+    ("mit", "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\")"),
+    ("apache-2.0", "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"),
+    ("gpl-3.0", "redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("cc-by-4.0", "dnl This work is licensed under a Creative\ndnl Commons Attribution 4.0\ndnl International License."),
+]
+
+
+def test_wrapped_notices(spark):
+    rows = [(n, f"some text\n{notice}\nmore text") for n, (_, notice) in enumerate(WRAPPED)]
+    apart = "Redistribution and use in source and binary forms " + "word " * 40 + "with or without modification are permitted provided that the following conditions are met"
+    rows += [(90, apart.replace("word with", "word\nwith")), (91, None)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [n for n, (label, _) in enumerate(WRAPPED) if label not in found[n].labels.split(",") or found[n].score < licenses.CONTAINMENT] == []
+    assert (found[90].labels, found[90].score, found[91].labels) == ("", 0.0, "")
+
+
 def test_template_filters_lose_nothing(spark):
     rng = random.Random(5)
     words = sorted({w for _, t in licenses.TEMPLATES for w in t.split(" ")})
