@@ -12,7 +12,7 @@ from pyspark.sql.types import DataType
 
 from panelift.llm.catalog import query, table
 
-#: Edits allowed per character of an item, and the shortest item (normalised characters) that is searched.
+#: Edits allowed per character of an item; items below so many normalised characters must stand exactly, as whole words.
 ERROR_RATE, SHORTEST = 0.05, 30
 #: Characters of items searched in one pass over the documents.
 PASS_CHARS = 4_000_000
@@ -66,13 +66,14 @@ def char_masks(pattern: str) -> dict[str, int]:
 
 
 class Searcher:
-    """All pieces of all items in one Aho-Corasick automaton."""
+    """All pieces of all items in one Aho-Corasick automaton; items below ``shortest`` characters whole, with a space on either side."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float, shortest: int = 0):
         self.items = [(key, text, int(len(text) * rate), char_masks(text)) for key, text in items]
+        self.exact = {number for number, (_, text) in enumerate(items) if len(text) < shortest}
         places: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text, errors, _) in enumerate(self.items):
-            for offset, piece in pieces(text, errors):
+            for offset, piece in [(-1, f" {text} ")] if number in self.exact else pieces(text, errors):
                 places.setdefault(piece, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
@@ -85,10 +86,14 @@ class Searcher:
         if not self.items or not text:
             return []
         spans: dict[int, list[list[int]]] = {}
-        for last, (size, found) in self.automaton.iter(text):
+        exact: dict[int, int] = {}
+        for last, (size, found) in self.automaton.iter(f" {text} "):
             for number, offset in found:
                 _, item, errors, _ = self.items[number]
-                begin = last - size + 1 - offset
+                begin = last - size - offset  # in the text without the space before it
+                if number in self.exact:
+                    exact.setdefault(number, begin + len(item))
+                    continue
                 low, high = max(0, begin - errors), begin + len(item) + errors
                 known = spans.setdefault(number, [])
                 if known and low <= known[-1][1]:
@@ -96,7 +101,7 @@ class Searcher:
                     known[-1][1] = max(known[-1][1], high)
                 else:
                     known.append([low, high])
-        out = []
+        out = [(self.items[number][0], 0, end) for number, end in exact.items()]
         for number, known in sorted(spans.items()):
             key, item, errors, masks = self.items[number]
             best = None
@@ -116,13 +121,14 @@ def find_items(
     """``docs`` with an array of (item_id, distance, end): the items that stand in the text with at most
     ``rate`` edits per character, counted on normalised text; the nearest place of each item.
 
-    Texts are searched whole. Null and empty texts have no hits, null and short items (below
-    ``shortest`` characters) are not searched, repeated items are found under the smallest id. Items are
+    Texts are searched whole. Items below ``shortest`` characters must stand without edits, as whole words.
+    Null and empty texts have no hits, items without a letter or digit are not searched (``wordless_items``
+    lists them), repeated items are found under the smallest id. Items are
     sent to the executors in passes of at most ``PASS_CHARS`` characters; more items mean more passes over
     the documents, not larger ones. A column named ``output`` is replaced.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), normalised(F.col(item_text)).alias("item"))
-    items = items.where(F.length("item") >= shortest).groupBy("item").agg(F.min("item_id").alias("item_id"))
+    items = items.where(F.length("item") > 0).groupBy("item").agg(F.min("item_id").alias("item_id"))
     kind: DataType = items.schema["item_id"].dataType
     chars = items.agg(F.sum(F.length("item"))).first()[0] or 0
     passes = max(1, -(-chars // PASS_CHARS))
@@ -130,15 +136,20 @@ def find_items(
     out = docs.withColumn("_searched", normalised(F.col(text))).withColumn(output, F.array().cast(shape))
     for turn in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == turn).orderBy("item").collect()
-        found = _search_column([(r.item_id, r.item) for r in rows], rate, shape)
+        found = _search_column([(r.item_id, r.item) for r in rows], rate, shortest, shape)
         out = out.withColumn(output, F.concat(F.col(output), found("_searched")))
     return out.drop("_searched")
 
 
-def _search_column(items: list[tuple[object, str]], rate: float, shape: str):
+def wordless_items(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, text) of the items that normalise to nothing, and so cannot be searched."""
+    return benchmark.where(normalised(F.col(item_text)) == "").select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+
+
+def _search_column(items: list[tuple[object, str]], rate: float, shortest: int, shape: str):
     @F.pandas_udf(shape)
     def search(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        searcher = Searcher(items, rate)
+        searcher = Searcher(items, rate, shortest)
         for texts in columns:
             yield pd.Series([[{"item_id": k, "distance": d, "end": e} for k, d, e in searcher.find(t)] for t in texts])
 

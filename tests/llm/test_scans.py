@@ -101,6 +101,15 @@ def test_items_within_budget_are_found(spark):
     assert len(want) > 10
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "x-ray"), (3, "?!"), (4, None), (5, "X ray")], "item_id long, text string")
+    texts = ["Q: what is the  capital of France", "What is the capital of Frances", "x-rays; an X-ray.", "x ray", "what is the capitol of france", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, *h) for r in decontaminate.find_items(docs, items).collect() for h in r.hits]
+    assert sorted(got) == [(0, 1, 0, 31), (2, 2, 0, 15), (3, 2, 0, 5)]
+    assert sorted(r.item_id for r in decontaminate.wordless_items(items).collect()) == [3, 4]
+
+
 def test_items_in_several_passes(spark, data, monkeypatch):
     docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     once = decontaminate.find_items(docs, items).select("doc_id", "hits").collect()
