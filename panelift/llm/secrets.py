@@ -1,4 +1,4 @@
-"""Secret scan: long tokens of code-like characters, and a random forest that drops the harmless ones.
+"""Secret scan: values after telling names and long tokens of code-like characters, and a random forest that drops the harmless ones.
 
 Everything on the main path is DataFrame expressions and Spark ML; no Python runs on the executors.
 """
@@ -15,10 +15,18 @@ from pyspark.sql import functions as F
 from panelift.llm.catalog import query, table
 from panelift.session import spill
 
-#: What may be a secret at all.
-TOKEN = "[A-Za-z0-9+/_-]{12,}={0,2}"
-#: Names before an assigned secret, and formats that are issued as keys.
-NAMED = r"""(?i)(token|secret|passw(or)?d|pwd|api_?key|credential|auth)[A-Za-z_]{0,8}["']?\s{0,3}[:=]{1,2}\s{0,3}["']?$"""
+#: Names before an assigned secret, formats that are issued as keys, web tokens, and what stands before a password in an address.
+_NAME = r"""(?i:token|secret|passw(?:or)?d|pwd|api_?key|credential|auth)[A-Za-z_]{0,8}["']?\s{0,3}[:=]{1,2}\s{0,3}"""
+NAMED = _NAME + """["']?$"""
+#: What may be a secret at all: the whole value after a telling name (6 signs or more, up to the quote or a space), the password
+#: in scheme://user:password@host, dotted tokens as one, and long runs of code characters. Short looks back come first, for speed.
+_QUOTED = "|".join(rf"(?<={q})(?<=[:=]\s{{0,3}}{q})(?<={_NAME}{q})[^{q}\s]{{6,}}+" for q in "\"'")
+_BARE = rf"""(?<=[\s:=])(?<=[:=]\s{{0,3}})(?<={_NAME})(?=[^\s"'<>:=][^\s"'<>]{{5}})[^\s"'<>]+(?<![.,;)\]}}])"""
+_ADDRESS = r"(?<=:)(?<=://[^\s/@:]{1,64}:)[^\s/]{3,256}(?=@)"
+_DOTTED = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{20,}+"
+TOKEN = f"{_QUOTED}|{_BARE}|{_ADDRESS}|{_DOTTED}|[A-Za-z0-9+/_-]{{12,}}={{0,2}}"
+WEB = r"^eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+$"
+USER = r"(^|://)[^\s/@:]+:$"
 ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35})$"
 MASK = "[SECRET]"
 
@@ -99,13 +107,24 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out.withColumn("coverage", F.least(F.lit(1.0), F.coalesce(F.col("_covered") / size, F.lit(0.0)))).drop("_covered")
 
 
+def _certain() -> Column:
+    """Whether token, before and after are a secret by form."""
+    token, before, after = F.col("token"), F.col("before"), F.col("after")
+    long = (F.length(token) >= 16) & token.rlike("[0-9]")
+    short = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (F.length(token) >= 6)
+    value = before.rlike(NAMED) & (long | short) & ~token.rlike(r"[()\[\]{}<>]")
+    return token.rlike(ISSUED) | token.rlike(WEB) | value | (before.rlike(USER) & after.rlike("^@"))
+
+
 def certain_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings without a reader: ``label`` 1 for issued formats and named assignments with digits,
-    0 for plain words, numbers, paths and addresses; what is neither is left out."""
+    """Labelled findings without a reader: ``label`` 1 for issued formats, web tokens, passwords in addresses and named
+    assignments of letters and digits, 0 for plain words, numbers, paths and addresses; what is neither is left out."""
     token, before, after = F.col("token"), F.col("before"), F.col("after")
-    secret = token.rlike(ISSUED) | (before.rlike(NAMED) & token.rlike("[0-9]") & (F.length(token) >= 16))
-    harmless = token.rlike("^([A-Za-z]+|[0-9]+|[a-z]+([_/-][a-z]+)+)$") | before.rlike(r"[/\\@.]$") | after.rlike(r"^[@/]")
-    return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0)).where("label is not null")
+    key_part = before.rlike(r"[A-Za-z0-9_-]{6,}\.$") & token.rlike("[0-9]") & token.rlike("[A-Z]") & token.rlike("[a-z]")
+    login = before.rlike(r"[^\s/@:]+:$") & after.rlike("^@")
+    dotted = (before.rlike(r"[@.]$") | after.rlike("^@")) & ~key_part & ~login
+    harmless = token.rlike("^([A-Za-z]+|[0-9]+|[a-z]+([_/-][a-z]+)+)$") | before.rlike(r"[/\\]$") | after.rlike("^/") | dotted
+    return found.withColumn("label", F.when(_certain(), 1.0).when(harmless, 0.0)).where("label is not null")
 
 
 def train(labelled: DataFrame, trees: int = 20, depth: int = 6) -> Model | None:
@@ -121,12 +140,14 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled:
 
     ``labelled`` (token, before, after, label 0 or 1) trains the forest; without it, findings that are
     certain by form do: at most ``rows`` distinct ones of each label, those of lowest hash. If they are all of
-    one kind there is nothing to learn, and only certain secrets are found. All documents are scanned whole
+    one kind there is nothing to learn, and only certain secrets are found. What is certain to be a secret by form is
+    found whatever the forest says. All documents are scanned whole
     and all count for the dictionary.
     """
     dictionary = spill(common_words(docs, text), "dictionary")
     found = spill(candidates(docs, doc_id, text), "tokens")
-    if labelled is None:
+    given = labelled is not None
+    if not given:
         known = certain_labels(found).select("token", "before", "after", "label").distinct()
         order = F.xxhash64("token", "before", "after"), F.col("token"), F.col("before"), F.col("after")
         some = [known.where(F.col("label") == k).orderBy(*order).limit(rows) for k in (0.0, 1.0)]
@@ -138,6 +159,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled:
     else:
         rows_in = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found, dictionary))
         scored = model.transform(rows_in).withColumn("score", vector_to_array("probability")[1])
+        if not given:
+            scored = scored.withColumn("score", F.when(_certain(), 1.0).otherwise(F.col("score")))
     scored = scored.where("score >= 0.5")
     return scored.select("doc_id", "text_key", "place", "start", F.length("token").alias("length"), "token", "score")
 

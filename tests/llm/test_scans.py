@@ -56,6 +56,20 @@ def test_forest_learns_from_given_findings(spark):
     assert sorted((r.doc_id or 0, r.start) for r in found) == [(0, 2), (1, 5)]
 
 
+def test_short_and_signed_values_and_dotted_tokens(spark):
+    web = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    cases = [
+        ('password = "Tr0ub4dor&3" end', "Tr0ub4dor&3"), ("pwd: p@ss.w0rd!9\nend", "p@ss.w0rd!9"), (f"see {web} end", web),
+        ("get https://admin:S3cret-pw99@host.example.org/x", "S3cret-pw99"), ("db://u:p@ss@host", "p@ss"), ("password: required words", None),
+        ("plain text with international words", None), ("mail long.name.somewhere@example.org or http://host:8080/a", None),
+    ]
+    docs = spark.createDataFrame([(n, text) for n, (text, _) in enumerate(cases)], "doc_id long, text string")
+    found = secrets.find(docs)
+    assert sorted((r.doc_id, r.start, r.token) for r in found.collect()) == [(n, t.index(x), x) for n, (t, x) in enumerate(cases) if x]
+    masked = {r.doc_id: r.text for r in secrets.mask(docs, found).collect()}
+    assert masked == {n: t.replace(x, secrets.MASK) if x else t for n, (t, x) in enumerate(cases)}
+
+
 def distance(pattern, text):
     before, best = list(range(len(pattern) + 1)), (len(pattern), 0)
     for at, c in enumerate(text, 1):
