@@ -19,7 +19,7 @@ TREES = 200
 RATE = 0.05
 DEPTH = 6
 FOREST_TREES = 100
-FOREST_DEPTH = 30  # the deepest trees that Spark ML grows
+FOREST_DEPTH = 10
 SEED = 42
 MISSING = 1e300
 
@@ -46,20 +46,39 @@ def fit_gbt(df: DataFrame, target: str, columns: Sequence[str], trees: int = TRE
     """Gradient-boosted regression trees on numeric columns."""
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, target])]).na.drop(subset=[target])
-    data = assemble(gaps_filled(rows, columns), columns)
+    data = assemble(gaps_filled(rows, columns), columns).select("features", target)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:  # each level is one pass over the rows: use every core
+        data = data.repartition(cores)
     learner = GBTRegressor(
         featuresCol="features", labelCol=target, maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, checkpointInterval=10
     )
-    return learner.fit(data.select("features", target))
+    return learner.fit(data)
 
 
-def fit_forest(df: DataFrame, target: str, columns: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED):
-    """Random forest regression trees on numeric columns, grown as deep as the learner allows unless ``depth`` is given."""
-    ensure_checkpoint_dir(df.sparkSession)
+def fit_forest(
+    df: DataFrame, target: str, columns: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED, bootstrap: bool = True
+):
+    """Random forest regression trees on numeric columns, at most ``depth`` levels deep (10 unless given).
+
+    Fully grown trees have as many leaves as training rows, and the learner ships per-level node maps
+    of that size with every task; at depth 10 a tree has at most 1,024 leaves, so the model that scoring
+    broadcasts holds at most trees x 2,047 nodes whatever the input size. Node ids are cached beside the
+    rows (with their lineage cut every 10 levels), so the growing trees are not sent with the tasks.
+    A training table of fewer partitions than the cluster has cores is spread over them first.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, target])]).na.drop(subset=[target])
-    data = assemble(gaps_filled(rows, columns), columns)
-    learner = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)
-    return learner.fit(data.select("features", target))
+    data = assemble(gaps_filled(rows, columns), columns).select("features", target)
+    cores = spark.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
+    learner = RandomForestRegressor(
+        featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap,
+        cacheNodeIds=True, checkpointInterval=10,
+    )
+    return learner.fit(data)
 
 
 def predict_trees(df: DataFrame, model, columns: Sequence[str], name: str = "prediction") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelift.functions.columns import recode_values
-from panelift.operators import causal, collinearity, correlation, design, frequency, gram, linear, missing, ordered, profiling, report, series, trees
+from panelift.operators import causal, collinearity, correlation, design, frequency, gram, linear, missing, ordered, profiling, report, series, trees, validation
 from panelift.plans.catalog import Tables, query, rd, rounded
 from panelift.operators.panel import brand_long
 from panelift.plans.diagnostic_queries import COL3, PAIRS, _vif_sql, corr_rows, pairs_of, vifs
@@ -210,6 +210,35 @@ def _gbt_missing(t: Tables):
     return rounded(trees.predict_trees(rows, model, ["x"]).select("l_orderkey", "l_linenumber", "l_partkey", "prediction"), 4)
 
 
+FOREST_STUMP = """rows as (select l_orderkey, l_extendedprice as y, case when l_orderkey % 6 <> 0 then l_linenumber end as x,
+  case when l_orderkey % 5 = 0 then 'test' else 'train' end as split from lineitem),
+tall as (select count(*) as n, sum(y) as s from rows where split = 'train'),
+cuts as (select v, sum(n) over (order by v) as n, sum(s) over (order by v) as s
+  from (select x as v, count(*) as n, sum(y) as s from rows where split = 'train' and x is not null group by x)),
+best as (select v, c.s / c.n as low, (tall.s - c.s) / (tall.n - c.n) as high from cuts c, tall where tall.n > c.n order by c.s * c.s / c.n + (tall.s - c.s) ** 2 / (tall.n - c.n) desc limit 1),
+parts as (select split, count(*) as n, avg(abs(y - p)) as mae, avg((y - p) * (y - p)) as mse, var_pop(y) as v
+  from (select split, y, case when x <= v then low else high end as p from rows, best) group by split),
+m as (select max(case when split = 'train' then n end)::double as n, max(case when split = 'train' then mae end) as train_mae,
+  max(case when split = 'test' then mae end) as test_mae, max(case when split = 'train' then mse end) as train_mse,
+  max(case when split = 'test' then mse end) as test_mse, 1 - max(case when split = 'train' then mse end) / max(case when split = 'train' then v end) as r2tr,
+  1 - max(case when split = 'test' then mse end) / max(case when split = 'test' then v end) as r2te from parts)"""
+
+
+@query("baseline_forest_stump", f"""with {FOREST_STUMP}
+select 'random_forest' as model, {rd('r2tr', 4, 'train_r2')}, {rd('r2te', 4, 'test_r2')},
+  {rd('case when n > 2 then 1 - (1 - r2tr) * (n - 1) / (n - 2) end', 4, 'train_adj_r2')}, {rd('train_mae', 4, 'train_mae')},
+  {rd('test_mae', 4, 'test_mae')}, {rd('sqrt(train_mse)', 4, 'train_rmse')}, {rd('sqrt(test_mse)', 4, 'test_rmse')},
+  {rd('r2tr - r2te', 4, 'r2_difference')}, {rd("case when train_mae > 0 then test_mae / train_mae else 'inf'::double end", 4, 'mae_ratio')},
+  {rd('case when r2tr > 0 then r2te / r2tr else 0 end', 4, 'generalization')} from m""")
+def _baseline_forest_stump(t: Tables):
+    # one tree of one split without resampling: the split SQL finds, fitted on every fifth order's complement
+    rows = t.lineitem.select("l_orderkey", F.col("l_extendedprice").alias("y"), F.when(F.col("l_orderkey") % 6 != 0, F.col("l_linenumber")).alias("x"))
+    split = validation.modulo_split(rows, "l_orderkey")
+    model = trees.fit_forest(split.filter("split = 'train'"), "y", ["x"], trees=1, depth=1, bootstrap=False)
+    scored = trees.predict_trees(split, model, ["x"], "_forest")
+    return rounded(validation.split_metrics(scored, "y", {"random_forest": "_forest"}, 1), 4)
+
+
 @query("shap_stump", f"""
 with {STUMP}, base as (select sum(case when x <= v then low else high end) / count(*) as b from rows, best)
 select l_orderkey, l_linenumber, l_partkey, {rd('b', 4, 'base_value')}, 'x' as feature, {rd('case when x <= v then low else high end - b', 4, 'contribution')} from rows, best, base""")

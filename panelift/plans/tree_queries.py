@@ -18,13 +18,21 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 _FITTED: dict[tuple[str, str], tuple] = {}
 
 
+def encoded(t: Tables) -> tuple[DataFrame, list[str]]:
+    """(stored rows with numeric features, feature columns), shared by the queries of a session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder, "rows")
+    if key not in _FITTED:
+        rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(*KEYS, TARGET, *FEATURES)
+        frame, columns = trees.encode_features(rows, FEATURES)
+        _FITTED[key] = (spill(frame, "trees"), columns)
+    return _FITTED[key]
+
+
 def fitted(t: Tables) -> tuple[DataFrame, object, list[str]]:
     """(encoded rows with prediction, model, columns)."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _FITTED:
-        rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(*KEYS, TARGET, *FEATURES)
-        encoded, columns = trees.encode_features(rows, FEATURES)
-        stored = spill(encoded, "trees")
+        stored, columns = encoded(t)
         model = trees.fit_gbt(stored, TARGET, columns)
         _FITTED[key] = (trees.predict_trees(stored, model, columns), model, columns)
     return _FITTED[key]
@@ -71,6 +79,6 @@ def _importance_permutation(t: Tables):
 
 @query("baseline_comparison")
 def _baseline_comparison(t: Tables):
-    rows, _, columns = fitted(t)
-    split = validation.hash_split(rows.drop("prediction"), KEYS)
+    rows, columns = encoded(t)
+    split = validation.hash_split(rows, KEYS)
     return validation.baseline_comparison(split, TARGET, columns, forest_trees=100, boosted_trees=100)

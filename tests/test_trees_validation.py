@@ -141,3 +141,15 @@ def test_baselines_compared(spark, fitted):
     assert best.best_test_r2 == max(r.test_r2 for r in rows.values()) and best.model_count == 3
     current = spark.createDataFrame([(1.0,)], "r2 double")
     assert validation.baseline_rank(current, out).first().ranking == "best"
+
+
+def test_forest_size_is_bounded_by_its_depth(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), float(a * 7 + b + rng.normal())) for a, b in rng.normal(size=(4000, 2)) * 100]
+    df = spark.createDataFrame(rows, "a double, b double, y double").coalesce(1)
+    model = trees.fit_forest(df, "y", ["a", "b"], trees=3)
+    assert model.getMaxDepth() == trees.FOREST_DEPTH
+    assert all(t.depth <= trees.FOREST_DEPTH for t in model.trees)
+    assert model.totalNumNodes <= 3 * (2 ** (trees.FOREST_DEPTH + 1) - 1)
+    one = trees.fit_forest(df, "y", ["a"], trees=1, depth=1, bootstrap=False)
+    assert one.totalNumNodes == 3  # a single split of all rows, as the SQL twin grows it
