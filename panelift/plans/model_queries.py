@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelift.operators import arma, causal, linear, series
+from panelift.operators import arma, causal, linear, series, smoothing
 from panelift.operators.ordered import add_lags, modal_step, running_effect
 from panelift.plans.catalog import Tables, query, rd, rounded
 from panelift.plans.cleaning_queries import FLAGGED, did_orders
@@ -311,6 +311,27 @@ def _arma_impact_aic(t: Tables):
     return arma.arma_impact(hourly(t), "value", ["hour"], ["event_type"])
 
 
+HOLT = f"""{HOURLY}, x as (select event_type, hour, value, row_number() over (partition by event_type order by hour) as rn from hourly),
+r as (select event_type, rn, value::double as level, 0.0::double as trend, null::double as predicted from x where rn = 1
+  union all
+  select x.event_type, x.rn, 0.3 * x.value + 0.7 * (r.level + r.trend),
+    0.1 * ((0.3 * x.value + 0.7 * (r.level + r.trend)) - r.level) + 0.9 * r.trend, r.level + r.trend
+  from r join x on x.event_type = r.event_type and x.rn = r.rn + 1)"""
+
+
+@query("smoothing_state", f"""
+with recursive {HOLT} select x.event_type, x.hour, {rd('x.value', 4, 'actual')}, {rd('level', 4, 'level')}, {rd('trend', 4, 'trend')},
+  {rd('predicted', 4, 'predicted')}, {rd('x.value - predicted', 4, 'error')} from x join r using (event_type, rn)""")
+def _smoothing_state(t: Tables):
+    out = smoothing.smoothed(hourly(t), "hour", "value", ["event_type"])
+    return rounded(out.select("event_type", "hour", "actual", "level", "trend", "predicted", "error"), 4)
+
+
+@query("forecast_paths")
+def _forecast_paths(t: Tables):
+    return smoothing.sampled_forecast(hourly(t).drop("n"), "hour", "value", 12, ["event_type"], step=3600)
+
+
 @query("ar_impact_aic")
 def _ar_impact_aic(t: Tables):
     return series.ar_impact(hourly(t), "value", ["hour"], ["event_type"], difference=1)
