@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelift.functions.columns import recode_values
-from panelift.operators import causal, collinearity, correlation, design, frequency, gram, linear, missing, ordered, profiling, report, series, trees, validation
+from panelift.operators import boosting, causal, collinearity, correlation, design, frequency, gram, linear, missing, ordered, profiling, report, series, trees, validation
 from panelift.plans.catalog import Tables, query, rd, rounded
 from panelift.operators.panel import brand_long
 from panelift.plans.diagnostic_queries import COL3, PAIRS, _vif_sql, corr_rows, pairs_of, vifs
@@ -239,6 +239,41 @@ def _baseline_forest_stump(t: Tables):
     return rounded(validation.split_metrics(scored, "y", {"random_forest": "_forest"}, 1), 4)
 
 
+def _sparse_stump_sql(fill: int) -> str:
+    return f"""with rows as (select case when l_orderkey % 6 <> 0 then l_linenumber end as x,
+  l_extendedprice / 1000 + 10 * case when l_orderkey % 6 <> 0 then l_linenumber else {fill} end as y from lineitem),
+base as (select avg(y) as b from rows),
+tot as (select sum(b - y) as g, count(*)::double as h, coalesce(sum(b - y) filter (where x is null), 0) as gm,
+  (count(*) filter (where x is null))::double as hm from rows, base),
+cuts as (select v, sum(g) over (order by v) as gl, sum(h) over (order by v) as hl
+  from (select x as v, sum(b - y) as g, count(*)::double as h from rows, base where x is not null group by x)),
+cand as (select v, false as missing_left, gl as lg, hl as lh from cuts union all select v, true, gl + gm, hl + hm from cuts, tot),
+scored as (select v, missing_left, lg, lh, t.g - lg as rg, t.h - lh as rh,
+  lg * lg / (lh + 1) + (t.g - lg) * (t.g - lg) / (t.h - lh + 1) - t.g * t.g / (t.h + 1) as gain from cand, tot t where lh >= 1 and t.h - lh >= 1)
+select v::double as threshold, missing_left, {rd('-lg / (lh + 1)', 4, 'left_weight')}, {rd('-rg / (rh + 1)', 4, 'right_weight')}
+from scored order by gain desc, missing_left, v limit 1"""
+
+
+def _sparse_stump(t: Tables, fill: int):
+    # one tree of one split by the learner with learnt directions; gaps behave like line number ``fill``
+    line = F.when(F.col("l_orderkey") % 6 != 0, F.col("l_linenumber"))
+    rows = t.lineitem.select(line.alias("x"), (F.col("l_extendedprice") / 1000 + 10 * F.coalesce(line, F.lit(fill))).alias("y"))
+    tree = boosting.fit(rows, "y", ["x"], trees=1, depth=1, rate=1.0).trees[0]
+    _, at, left = tree.splits[0]
+    found = t.spark.createDataFrame([(at, left, tree.leaves[1], tree.leaves[2])], "threshold double, missing_left boolean, left_weight double, right_weight double")
+    return rounded(found, 4, "left_weight", "right_weight")
+
+
+@query("sparse_stump_gaps_low", _sparse_stump_sql(1))
+def _sparse_stump_gaps_low(t: Tables):
+    return _sparse_stump(t, 1)
+
+
+@query("sparse_stump_gaps_high", _sparse_stump_sql(8))
+def _sparse_stump_gaps_high(t: Tables):
+    return _sparse_stump(t, 8)
+
+
 @query("shap_stump", f"""
 with {STUMP}, base as (select sum(case when x <= v then low else high end) / count(*) as b from rows, best)
 select l_orderkey, l_linenumber, l_partkey, {rd('b', 4, 'base_value')}, 'x' as feature, {rd('case when x <= v then low else high end - b', 4, 'contribution')} from rows, best, base""")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelift.operators import trees, validation
+from panelift.operators import boosting, trees, validation
 from panelift.plans.catalog import Tables, query
 from panelift.session import spill
 
@@ -77,6 +77,15 @@ def _importance_permutation(t: Tables):
     return validation.importance_permutation(keyed, TARGET, columns, "key", lambda frame: trees.predict_trees(frame, model, columns))
 
 
+@query("sparse_boost_fit")
+def _sparse_boost_fit(t: Tables):
+    # boosting that learns a direction for missing values; every fourth discount is hidden
+    rows, columns = encoded(t)
+    gapped = rows.withColumn("l_discount", F.when(F.col("l_orderkey") % 4 != 0, F.col("l_discount")))
+    model = boosting.fit(gapped, TARGET, columns, trees=20, depth=3)
+    return gapped.select(*KEYS, TARGET, model.expression().alias("prediction"))
+
+
 @query("baseline_comparison")
 def _baseline_comparison(t: Tables):
     rows, columns = encoded(t)
