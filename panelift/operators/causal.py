@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from panelift.operators.filters import assert_flags
 from panelift.operators.gram import LinearFit
 from panelift.operators.linear import fit_ols, inference_rows, linear_expression
 from panelift.operators.ordered import slice_rows
+from panelift.session import spill
+from panelift.functions.tails import t_quantile, t_two_sided
 
 INTERACTION = "treated:post"
 
@@ -55,6 +58,75 @@ def did_effect(spark, fit: LinearFit) -> DataFrame:
     )
 
 
+def did_absorbed(
+    df: DataFrame, target: str, features: Sequence[str] = (), absorb: Sequence[str] = (), tolerance: float = 1e-10, rounds: int = 200
+) -> DataFrame:
+    """Difference-in-differences with the levels of ``absorb`` columns as fixed effects, without dummies.
+
+    Every variable (target, treated, post, treated:post, numeric ``features``) is demeaned within the
+    levels of each absorbed column in turn (alternating projections); with one absorbed column one pass
+    is exact, with more the passes repeat until no level mean of any variable exceeds ``tolerance`` times
+    the variable's spread (at most ``rounds`` rounds; ``converged`` tells). Each pass is written to the
+    shared folder. Least squares on the demeaned variables then gives the effect; a regressor whose
+    demeaned sum of squares is below 1e-12 of its own is absorbed (e.g. treated, when it is fixed within a
+    level) and left out. Residual degrees of freedom: rows - regressors - (sum of levels - columns + 1).
+    r_squared is the within R2. Rows with a null in any used column are left out. Only counts of levels
+    and one small cross-product matrix reach the driver, never the levels.
+    """
+    assert_flags(df, ["treated", "post"], both=False)
+    absorb, features = list(absorb), list(features)
+    names = ["_y", "treated", "post", "_did", *[f"_f{i}" for i in range(len(features))]]
+    rows = df.select(
+        *[F.col(c) for c in absorb], F.col(target).cast("double").alias("_y"), F.col("treated").cast("double").alias("treated"),
+        F.col("post").cast("double").alias("post"), (F.col("treated") * F.col("post")).cast("double").alias("_did"),
+        *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)],
+    ).na.drop()
+    rows = spill(rows, "absorbed")
+    spread = rows.agg(*[F.stddev_pop(v).alias(v) for v in names], *[F.count_distinct(c).alias(f"_l{i}") for i, c in enumerate(absorb)], F.count(F.lit(1)).alias("_n")).first()
+    total = {v: float(spread[v] or 0.0) for v in names}
+    levels = sum(int(spread[f"_l{i}"]) for i in range(len(absorb)))
+    converged, done = True, 0
+    for done in range(1, rounds + 1):
+        for c in absorb:
+            means = rows.groupBy(c).agg(*[F.avg(v).alias(f"_m{v}") for v in names])
+            rows = spill(rows.join(means, c).select(*absorb, *[(F.col(v) - F.col(f"_m{v}")).alias(v) for v in names]), "absorbed")
+        if len(absorb) <= 1:
+            break
+        largest = [rows.groupBy(c).agg(*[F.abs(F.avg(v)).alias(v) for v in names]).agg(*[F.max(v).alias(v) for v in names]).first() for c in absorb]
+        converged = all(float(w[v] or 0.0) <= tolerance * (total[v] or 1.0) for w in largest for v in names)
+        if converged:
+            break
+    regressors = names[1:]
+    sums = rows.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for i, a in enumerate(names) for b in names[i:]]).first().asDict()
+    product = lambda a, b: float(sums.get(f"{a}|{b}", sums.get(f"{b}|{a}")) or 0.0)
+    n = int(spread["_n"])
+    kept = [v for v in regressors if product(v, v) > 1e-12 * max(total[v] ** 2 * n, 1e-300)]
+    xx = np.array([[product(a, b) for b in kept] for a in kept]).reshape(len(kept), len(kept))
+    xy = np.array([product(a, "_y") for a in kept])
+    inverse = np.linalg.pinv(xx) if len(kept) else np.zeros((0, 0))
+    beta = inverse @ xy
+    yy = product("_y", "_y")
+    sse = max(0.0, yy - float(beta @ xy))
+    dof = n - len(kept) - (levels - len(absorb) + 1 if absorb else 1)
+    ate = se = t = p = low = high = None
+    if "_did" in kept:
+        j = kept.index("_did")
+        ate = float(beta[j])
+        if dof > 0:
+            se = float(np.sqrt(sse / dof * inverse[j, j]))
+            t = ate / se if se > 0 else float("inf") * float(np.sign(ate))
+            p = t_two_sided(t, dof)
+            reach = t_quantile(0.975, dof)
+            low, high = ate - reach * se, ate + reach * se
+    r2 = 1 - sse / yy if yy > 0 else None
+    row = (ate, se, t, p, low, high, p is not None and p < 0.05, r2, n, levels, converged, done)
+    return df.sparkSession.createDataFrame(
+        [row],
+        "ate double, std_error double, t_value double, p_value double, ci_low double, ci_high double, significant boolean, "
+        "r_squared double, observations long, absorbed_levels long, converged boolean, rounds int",
+    )
+
+
 def did_effect_size(effect: DataFrame, df: DataFrame, target: str) -> DataFrame:
     """|ate| over the target's standard deviation with its band, and whether the interval is narrow."""
     std = df.agg(F.stddev_samp(target)).first()[0]

@@ -126,6 +126,22 @@ def _did_effect(t: Tables):
     return rounded(rounded(out, 4, "ate", "f_statistic"), 8, "r_squared")
 
 
+@query("did_absorbed", f"""
+with {GEO}, {FLAGGED},
+d as (select o_totalprice - avg(o_totalprice) over (partition by c_custkey) as y, post - avg(post) over (partition by c_custkey) as p,
+  treated * post - avg(treated * post) over (partition by c_custkey) as i from flagged),
+s as (select sum(p * p) as pp, sum(i * i) as ii, sum(p * i) as pi, sum(p * y) as py, sum(i * y) as iy, sum(y * y) as yy, count(*) as n from d),
+l as (select count(distinct c_custkey) as levels from flagged),
+b as (select *, (ii * py - pi * iy) / (pp * ii - pi * pi) as bp, (pp * iy - pi * py) / (pp * ii - pi * pi) as bi from s)
+select {rd('bi', 4, 'ate')}, {rd('sqrt((yy - bp * py - bi * iy) / (n - 2 - levels) * pp / (pp * ii - pi * pi))', 4, 'std_error')},
+  {rd('1 - (yy - bp * py - bi * iy) / yy', 8, 'r_squared')}, n::bigint as observations, levels::bigint as absorbed_levels from b, l""")
+def _did_absorbed(t: Tables):
+    # every customer its own fixed effect, by demeaning within customers; treated is fixed within one and drops out
+    rows = did_orders(t).withColumn("customer", F.col("c_custkey").cast("string"))
+    out = causal.did_absorbed(rows, "o_totalprice", absorb=["customer"])
+    return rounded(rounded(out, 8, "r_squared"), 4, "ate", "std_error").select("ate", "std_error", "r_squared", "observations", "absorbed_levels")
+
+
 @query("did_inference")
 def _did_inference(t: Tables):
     fit, _ = causal.did_fit(did_orders(t), "o_totalprice", ["c_acctbal", "o_orderpriority"])
