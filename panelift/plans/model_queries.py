@@ -263,6 +263,48 @@ def _var_fit(t: Tables):
     return rounded(stats.coefficients(order=1), 5)
 
 
+VARB = f"""{HOURLY}, {VAR1}, m as (select event_type, count(*) as n, {', '.join(f"avg({c}) as m_{c}" for c in ('value', 'n', 'x1', 'x2'))}, covar_pop(x1, x1) as s11, covar_pop(x2, x2) as s22, covar_pop(x1, x2) as s12,
+  covar_pop(x1, value) as sv1, covar_pop(x2, value) as sv2, covar_pop(x1, n) as sn1, covar_pop(x2, n) as sn2 from lag1 where x1 is not null group by event_type),
+b as (select *, m_value - v1 * m_x1 - v2 * m_x2 as cv, m_n - n1 * m_x1 - n2 * m_x2 as cn from (
+  select *, (s22 * sv1 - s12 * sv2) / d as v1, (s11 * sv2 - s12 * sv1) / d as v2, (s22 * sn1 - s12 * sn2) / d as n1, (s11 * sn2 - s12 * sn1) / d as n2
+  from (select *, s11 * s22 - s12 * s12 as d from m)))"""
+
+
+@query("var_irf_order1", f"""
+with recursive {VARB},
+p as (select event_type, 0 as step, 1.0::double as e11, 0.0::double as e12, 0.0::double as e21, 1.0::double as e22,
+    1.0::double as c11, 0.0::double as c12, 0.0::double as c21, 1.0::double as c22 from b
+  union all
+  select p.event_type, step + 1, e11 * v1 + e12 * n1, e11 * v2 + e12 * n2, e21 * v1 + e22 * n1, e21 * v2 + e22 * n2,
+    c11 + e11 * v1 + e12 * n1, c12 + e11 * v2 + e12 * n2, c21 + e21 * v1 + e22 * n1, c22 + e21 * v2 + e22 * n2
+  from p join b using (event_type) where step < 10)
+select event_type, step::integer as step, impulse, response, {rd('effect', 6, 'effect')}, {rd('cumulative', 6, 'cumulative')} from (
+  select event_type, step, 'value' as impulse, 'value' as response, e11 as effect, c11 as cumulative from p
+  union all select event_type, step, 'n', 'value', e12, c12 from p
+  union all select event_type, step, 'value', 'n', e21, c21 from p
+  union all select event_type, step, 'n', 'n', e22, c22 from p)""")
+def _var_irf_order1(t: Tables):
+    stats = series.VarStatistics(hourly(t), ["value", "n"], ["hour"], ["event_type"])
+    return rounded(stats.impulse_responses(order=1), 6, "effect", "cumulative")
+
+
+@query("var_diagnostics_order1", f"""
+with {VARB},
+e as (select l.event_type, l.value - (cv + v1 * x1 + v2 * x2) as ev, l.n - (cn + n1 * x1 + n2 * x2) as en from lag1 l join b using (event_type) where x1 is not null),
+s as (select event_type, count(*) as n, ln(avg(ev * ev) * avg(en * en) - avg(ev * en) * avg(ev * en)) as ld from e group by event_type),
+r as (select *, v1 + n2 as tr, v1 * n2 - v2 * n1 as dt from b)
+select event_type, 1 as lag_order, s.n::bigint as observations, {rd('ld + 12.0 / s.n', 6, 'aic')}, {rd('ld + ln(s.n) * 6 / s.n', 6, 'bic')},
+  {rd('ld + 2 * ln(ln(s.n)) * 6 / s.n', 6, 'hqic')}, {rd('power((s.n + 3.0) / (s.n - 3.0), 2) * exp(ld)', 2, 'fpe')},
+  {rd('case when tr * tr - 4 * dt >= 0 then greatest(abs(tr + sqrt(tr * tr - 4 * dt)), abs(tr - sqrt(tr * tr - 4 * dt))) / 2 else sqrt(dt) end', 6, 'largest_root')},
+  (case when tr * tr - 4 * dt >= 0 then greatest(abs(tr + sqrt(tr * tr - 4 * dt)), abs(tr - sqrt(tr * tr - 4 * dt))) / 2 else sqrt(dt) end) < 1 as stable,
+  4 as total_parameters, {rd('abs(cv) + abs(cn) + abs(v1) + abs(v2) + abs(n1) + abs(n2)', 5, 'coefficient_magnitude')}
+from s join r using (event_type)""")
+def _var_diagnostics_order1(t: Tables):
+    stats = series.VarStatistics(hourly(t), ["value", "n"], ["hour"], ["event_type"])
+    out = stats.diagnostics(order=1)
+    return rounded(rounded(rounded(out, 6, "aic", "bic", "hqic", "largest_root"), 2, "fpe"), 5, "coefficient_magnitude")
+
+
 @query("var_irf")
 def _var_irf(t: Tables):
     return series.VarStatistics(hourly(t), ["value", "n"], ["hour"], ["event_type"]).impulse_responses()
