@@ -104,6 +104,21 @@ def _lag_significance(t: Tables):
     return linear.lag_significance(linear.inference(t.spark, fit))
 
 
+@query("lag_significance_two", f"""
+with {HOURLY}, {LAGGED}, {two_feature_ols('lagged', 'n', 'v1', 'v2')},
+s as (select *, sse / (n - 3) as s2, s11 * s22 - s12 * s12 as d, cast(n - 3 as double) as v from beta),
+e as (select 'value_lag1' as term, b1 as b, v, sqrt(s2 * s22 / (n * d)) as se from s union all select 'value_lag2', b2, v, sqrt(s2 * s11 / (n * d)) from s),
+q as (select term, v, abs(b / se) as t, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) as k from e),
+-- Simpson's rule over 0..t with 4000 steps
+i as (select term, sum(case when j = 0 or j = 4000 then 1 when j % 2 = 1 then 4 else 2 end * k * (1 + (t * j / 4000) ** 2 / v) ** (-(v + 1) / 2)) * any_value(t) / 4000 / 3 as half
+  from q, (select unnest(range(0, 4001)) as j) group by term),
+p as (select term, greatest(0.0, 1 - 2 * half) as p from i)
+select term, {rd('p', 6, 'p_value')}, p < 0.05 as significant from p""")
+def _lag_significance_two(t: Tables):
+    fit, _ = linear.distributed_lag(hourly(t), "n", ["value"], ["hour"], ["event_type"], max_lag=2)
+    return rounded(linear.lag_significance(linear.inference(t.spark, fit)), 6, "p_value")
+
+
 @query("max_lag_order", "select 7 as max_lag, cast(7 as bigint) as lag_terms from (select count(*) from events)")
 def _max_lag_order(t: Tables):
     fit, _ = linear.distributed_lag(hourly(t), "n", ["value"], ["hour"], ["event_type"])
