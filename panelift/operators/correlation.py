@@ -9,20 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelift.functions.columns import nan_to_null
-from panelift.operators.gram import SQL_WIDTH, pair_sums
+from panelift.operators.gram import pair_sums
 
 TIDY = "i int, j int, var_i string, var_j string, corr double, pairs long"
+#: Pairwise SQL aggregates need k(k+1) + k^2 buffers; from three columns on the masked matrices are cheaper.
+CORRELATION_SQL_WIDTH = 2
 
 
 def correlation_values(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(correlations, pair counts), each pair over the rows where both values are present (NaN is missing).
 
-    Up to ``SQL_WIDTH`` columns one aggregate of pair correlations; wider tables add up masked matrices.
+    Up to ``CORRELATION_SQL_WIDTH`` columns one aggregate of pair correlations; wider tables add up masked matrices.
     """
     names = list(columns)
     k = len(names)
     df = nan_to_null(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]))
-    if k <= SQL_WIDTH:
+    if k <= CORRELATION_SQL_WIDTH:
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
         present = lambda i, j: F.when(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull(), F.col(f"v{i}"))
         found = df.agg(
