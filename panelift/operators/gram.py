@@ -300,6 +300,76 @@ def solve_linear(m: Moments, target: str, features: Sequence[str]) -> LinearFit:
     return LinearFit(target, features, intercept, slopes, part.n, sse, syy, full_rank, inverse)
 
 
+def r_factor(df: DataFrame, columns: Sequence[str]) -> tuple[float, np.ndarray]:
+    """(rows, R) of the QR factorisation of [1, columns] over rows without a gap (tall-skinny QR).
+
+    Each partition folds its batches into one triangular factor; the factors are stacked and factored
+    again in levels of constant fan-in, so no task or driver ever holds more than a fixed number of
+    (k + 1) x (k + 1) matrices. Working on the rows themselves keeps the condition number unsquared.
+    """
+    names = list(columns)
+    k = len(names) + 1
+    present = F.lit(True)
+    for c in names:
+        present = present & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    used = df.where(present).select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)], F.spark_partition_id().alias("_bucket"))
+    schema = "_bucket int, n double, r array<double>"
+
+    def fold(stack: np.ndarray) -> np.ndarray:
+        r = np.linalg.qr(stack, mode="r")
+        out = np.zeros((k, k))
+        out[: r.shape[0]] = r[:k]
+        return out
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r, n, bucket = np.zeros((k, k)), 0.0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            block = np.column_stack([np.ones(len(batch)), batch[[f"_v{i}" for i in range(k - 1)]].to_numpy(dtype=float)])
+            r, n = fold(np.vstack([r, block])), n + len(batch)
+            bucket = int(batch["_bucket"].iloc[0])
+        yield pd.DataFrame({"_bucket": [bucket], "n": [n], "r": [r.ravel().tolist()]})
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        stack = np.vstack([np.asarray(v, float).reshape(k, k) for v in part["r"]])
+        return pd.DataFrame({"_bucket": part["_bucket"].iloc[:1].tolist(), "n": [part["n"].sum()], "r": [fold(stack).ravel().tolist()]})
+
+    rows = merged_in_levels(used.mapInPandas(partial, schema), [], merge, schema).collect()
+    if not rows:
+        return 0.0, np.zeros((k, k))
+    return float(rows[0]["n"]), np.asarray(rows[0]["r"], float).reshape(k, k)
+
+
+def fit_ols_qr(df: DataFrame, target: str, features: Sequence[str]) -> LinearFit:
+    """Least squares with intercept from the R factor of [1, features, target]; rows with a gap are left out.
+
+    Coefficients come by back-substitution, the residual sum of squares is the last diagonal entry squared,
+    and (X'X)^-1 = R^-1 R^-T. A feature whose diagonal entry is below 1e-12 of the largest makes the fit
+    rank-deficient: then minimum-norm coefficients and no inverse.
+    """
+    features = list(features)
+    n, r = r_factor(df, [*features, target])
+    if n < 1:
+        raise ValueError("no complete rows to fit")
+    k = len(features) + 1
+    rxx, rxy, ryy = r[:k, :k], r[:k, k], float(r[k, k])
+    diagonal = np.abs(np.diag(rxx))
+    full_rank = bool(n > k and diagonal.min() > 1e-12 * diagonal.max())
+    if full_rank:
+        beta = np.linalg.solve(rxx, rxy)
+        core = np.linalg.inv(rxx)
+        inverse = core @ core.T
+        sse = ryy * ryy
+    else:
+        beta = np.linalg.lstsq(rxx, rxy, rcond=1e-12)[0]
+        inverse = None
+        sse = float(np.sum((rxx @ beta - rxy) ** 2) + ryy * ryy)
+    total = np.linalg.qr(r[:, [0, k]], mode="r")  # R of [1, target]: its last entry is the centred spread
+    sst = float(total[1, 1] ** 2)
+    return LinearFit(target, features, float(beta[0]), beta[1:], n, float(sse), sst, full_rank, inverse)
+
+
 def holdout_errors(m: Moments, fit: LinearFit) -> tuple[float, float]:
     """(sum of squared errors, total sum of squares) of a fit on other rows, from their moments."""
     part = m.pick([*fit.features, fit.target])

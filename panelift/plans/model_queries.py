@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelift.operators import arma, causal, linear, series, smoothing
+from panelift.operators import arma, causal, gram, linear, series, smoothing
 from panelift.operators.ordered import add_lags, modal_step, running_effect
 from panelift.plans.catalog import Tables, query, rd, rounded
 from panelift.plans.cleaning_queries import FLAGGED, did_orders
@@ -60,6 +60,12 @@ def _ols_coefficients(t: Tables):
     return rounded(linear.coefficients(t.spark, line_fit(t)), 4)
 
 
+@query("ols_qr_coefficients", f"with {LINE_OLS} select position, term, {rd('b', 4, 'coefficient')} from {TERMS}")
+def _ols_qr_coefficients(t: Tables):
+    # the same fit as ols_coefficients by a tall-skinny QR of the rows instead of their moments
+    return rounded(linear.coefficients(t.spark, gram.fit_ols_qr(t.lineitem, "l_extendedprice", FEATURES)), 4)
+
+
 @query("ols_predict", f"with {LINE_OLS} select {LINE_KEY}, {rd('b0 + b1 * l_quantity + b2 * l_discount', 4, 'prediction')} from lineitem, beta")
 def _ols_predict(t: Tables):
     return rounded(linear.predict(t.lineitem, line_fit(t)).select("l_orderkey", "l_linenumber", "prediction"), 4)
