@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ from panelift.operators.gram import (
     information_criteria,
     moments,
     moments_by,
+    moments_frame,
     solve_linear,
 )
 from panelift.operators.ordered import add_lags, slice_rows
+from panelift.session import spill
 
 SIGNIFICANCE = 0.05
 MAX_LAG = 7
@@ -273,26 +276,39 @@ def lag_significance(table: DataFrame) -> DataFrame:
 def cross_validation(df: DataFrame, target: str, features: Sequence[str], fold: str) -> tuple[DataFrame, DataFrame]:
     """(scores per fold, summary). All folds come from one pass of moments grouped by fold.
 
-    The training moments of a fold are the total minus its own; only the mean absolute error
-    needs a second pass, in which each row is scored by the model that did not see it.
+    The training moments of a fold are the total minus its own; each fold's fit is solved on the
+    executors, next to its moments, and its coefficients are joined back to its rows, where the mean
+    absolute error is taken. Only the total moments (k x k) reach the driver, whatever the number of folds.
+    A null fold is a fold of its own.
     """
     columns = [*features, target]
-    parts = {f: m for f, m in moments_by(df, columns, fold).items() if m.n > 0}
-    whole = None
-    for m in parts.values():
-        whole = m if whole is None else _plus(whole, m)
-    fits = {f: solve_linear(whole.minus(m), target, features) for f, m in parts.items()}
-    score = F.lit(None).cast("double")
-    for f, fit in fits.items():
-        score = F.when(F.col(fold) == F.lit(f), linear_expression(fit)).otherwise(score)
-    absolute = df.na.drop(subset=columns).groupBy(fold).agg(F.avg(F.abs(F.col(target) - score)).alias("mae"))
-    mae = {r[fold]: r["mae"] for r in absolute.collect()}  # one row per fold
-    rows = []
-    for f, fit in sorted(fits.items()):
-        sse, sst = holdout_errors(parts[f], fit)
-        rows.append((f, int(parts[f].n), 1 - sse / sst, (sse / parts[f].n) ** 0.5, mae[f]))
+    k = len(columns)
+    whole = moments(df, columns)
+    per_fold = moments_frame(df, columns, [fold])
     fold_type = dict(df.dtypes)[fold]
-    scores = df.sparkSession.createDataFrame(rows, f"fold {fold_type}, observations long, r2 double, rmse double, mae double")
+    schema = f"`{fold}` {fold_type}, observations long, r2 double, rmse double, _beta array<double>"
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in part.iterrows():
+            own = Moments(columns, float(r["n"]), np.asarray(r["mean"], float), np.asarray(r["cross"], float).reshape(k, k), float(r["total"]))
+            if own.n <= 0:
+                continue
+            fit = solve_linear(whole.minus(own), target, features)
+            sse, sst = holdout_errors(own, fit)
+            out.append((r[fold], int(own.n), 1 - sse / sst if sst > 0 else float("nan"), (sse / own.n) ** 0.5, [fit.intercept, *map(float, fit.slopes)]))
+        return pd.DataFrame(out, columns=[fold, "observations", "r2", "rmse", "_beta"])
+
+    fits = spill(per_fold.groupBy(fold).applyInPandas(solve, schema), "folds")
+    beta = F.col("_beta")
+    score = beta[0]
+    for i, c in enumerate(features):
+        score = score + beta[i + 1] * F.col(c)
+    coefficients = fits.select(F.col(fold).alias("_fold"), "_beta")
+    used = df.na.drop(subset=columns).select(fold, *columns)
+    joined = used.join(coefficients, used[fold].eqNullSafe(coefficients["_fold"]))
+    absolute = joined.groupBy("_fold").agg(F.avg(F.abs(F.col(target) - score)).alias("mae"))
+    scores = fits.join(absolute, fits[fold].eqNullSafe(absolute["_fold"]), "left").select(fold, "observations", "r2", "rmse", "mae")
     r2 = F.col("r2")
     summary = scores.agg(
         F.count(F.lit(1)).alias("folds"), F.avg(r2).alias("r2_mean"), F.stddev_pop(r2).alias("r2_std"), F.min(r2).alias("r2_min"),
