@@ -22,10 +22,20 @@ INTERACTION = "treated:post"
 def dummy_columns(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
     """0/1 columns for the levels of a text column in sorted order, the first level left out.
 
-    Every level becomes a regressor, so the fit grows with the square of their number.
+    Every level becomes a regressor, so the fit grows with the square of their number (``did_absorbed``
+    takes many levels without dummies). Levels whose safe names meet (``a b`` and ``a-b``), also with the
+    left-out first level or an existing column, are told apart by a number: ``_2``, ``_3``, ... in level order.
     """
-    levels = sorted(str(r[0]) for r in df.select(column).na.drop().distinct().collect())[1:]
-    names = [f"{column}_{safe_name(v)}" for v in levels]
+    every = sorted(str(r[0]) for r in df.select(column).na.drop().distinct().collect())
+    taken = set(df.columns) | ({f"{column}_{safe_name(every[0])}"} if every else set())
+    levels, names = every[1:], []
+    for v in levels:
+        name, count = f"{column}_{safe_name(v)}", 1
+        while name in taken:
+            count += 1
+            name = f"{column}_{safe_name(v)}_{count}"
+        taken.add(name)
+        names.append(name)
     flags = {n: (F.col(column).cast("string") == v).cast("double") for n, v in zip(names, levels)}
     return (df.withColumns(flags) if flags else df), names
 

@@ -57,3 +57,11 @@ def test_ten_thousand_levels(spark):
     beta = np.linalg.solve(X.T @ X, X.T @ w)
     assert got.absorbed_levels == len(np.unique(level)) and got.rounds == 1
     assert got.ate == pytest.approx(beta[1], abs=1e-8) and abs(got.ate - 2) < 0.1
+
+
+def test_dummy_names_that_meet_are_numbered(spark):
+    df = spark.createDataFrame([("a b", 1.0), ("a-b", 2.0), ("a_b", 3.0), ("c", 4.0)], "kind string, y double")
+    out, names = causal.dummy_columns(df, "kind")
+    assert len(set(names)) == 3 and len(names) == 3
+    rows = out.collect()
+    assert [sum(r[n] for n in names) for r in rows] == [0.0, 1.0, 1.0, 1.0]
