@@ -283,8 +283,8 @@ def cross_validation(df: DataFrame, target: str, features: Sequence[str], fold:
     """
     columns = [*features, target]
     k = len(columns)
-    whole = moments(df, columns)
-    per_fold = moments_frame(df, columns, [fold])
+    per_fold = spill(moments_frame(df, columns, [fold]), "fold_moments")
+    whole = _pooled(per_fold, columns)
     fold_type = dict(df.dtypes)[fold]
     schema = f"`{fold}` {fold_type}, observations long, r2 double, rmse double, _beta array<double>"
 
@@ -319,6 +319,27 @@ def cross_validation(df: DataFrame, target: str, features: Sequence[str], fold:
     return scores, summary
 
 
+def _pooled(parts: DataFrame, names: list[str]) -> Moments:
+    """Moments of all rows from a table of moments per group (n, mean, cross, total): one row per group.
+
+    cross = sum of the groups' cross products + sum of n_g (mean_g - mean)(mean_g - mean)'. Two small
+    aggregations over that table; k means and k x k sums reach the driver.
+    """
+    k = len(names)
+    head = parts.agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"),
+        *[F.sum(F.col("n") * F.col("mean")[i]).alias(f"m{i}") for i in range(k)],
+    ).first()
+    n = float(head["n"] or 0.0)
+    if n <= 0:
+        return Moments(names, 0.0, np.zeros(k), np.zeros((k, k)), float(head["total"] or 0.0))
+    mean = np.array([float(head[f"m{i}"]) / n for i in range(k)])
+    gap = [F.col("mean")[i] - F.lit(float(mean[i])) for i in range(k)]
+    sums = parts.agg(*[F.sum(F.col("cross")[i * k + j] + F.col("n") * gap[i] * gap[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(k)]).first()
+    cross = np.array([[float(sums[f"c{i}_{j}"]) for j in range(k)] for i in range(k)])
+    return Moments(names, n, mean, cross, float(head["total"] or 0.0))
+
+
 def _plus(a: Moments, b: Moments) -> Moments:
     n = a.n + b.n
     gap = b.mean - a.mean
