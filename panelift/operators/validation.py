@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,12 +188,56 @@ def overfitting_risk(metrics: DataFrame, features: int, observations: Column, se
     )
 
 
+FEISTEL_ROUNDS = 4
+
+
+def feistel(i: np.ndarray, n: int, seed: int, rounds: int = FEISTEL_ROUNDS) -> np.ndarray:
+    """A keyed bijection of 0..n-1: Feistel rounds on the smallest even-bit domain that holds n, with cycle-walking.
+
+    Values that land at n or beyond are sent through the rounds again; a cycle that starts below n comes
+    back below n, and with a domain under 4 n that takes fewer than four passes on average.
+    """
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    keys = [np.uint64((seed * 0x9E3779B97F4A7C15 + r * 0xBF58476D1CE4E5B9 + 1) & ((1 << 64) - 1)) for r in range(rounds)]
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> np.uint64(half), x & mask
+        for key in keys:
+            mixed = (right ^ key) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(31)
+            left, right = right, left ^ (mixed & mask)
+        return (left << np.uint64(half)) | right
+
+    x = once(np.asarray(i, np.uint64))
+    outside = x >= np.uint64(n)
+    while outside.any():
+        x[outside] = once(x[outside])
+        outside = x >= np.uint64(n)
+    return x.astype(np.int64)
+
+
+def _numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(rows with _i = 0.. in key order, row count), written once to the shared folder."""
+    sliced = slice_rows(df, [key])
+    return spill(sliced.numbered("_i").drop("_slice", "_pos"), "numbered"), sliced.row_count
+
+
+def _permuted(numbered: DataFrame, n: int, columns: Sequence[str], seed: int) -> DataFrame:
+    """Row i also carries the values of row feistel(i): one equi-join on row numbers."""
+
+    @F.pandas_udf("long")
+    def source(i: pd.Series) -> pd.Series:
+        return pd.Series(feistel(i.to_numpy(np.int64), n, seed))
+
+    values = numbered.select(F.col("_i").alias("_src"), *[F.col(c).alias(f"_perm_{c}") for c in columns])
+    return numbered.withColumn("_src", source("_i")).join(values, "_src").drop("_src")
+
+
 def with_permuted(df: DataFrame, columns: Sequence[str], key: str, seed: int = 42) -> DataFrame:
-    """Add _perm_{column}: row i (by key) also carries the values of row i by the hash of the key."""
-    rows = slice_rows(df, [key]).numbered("_i")
-    values = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_key"), *[F.col(c).alias(f"_perm_{c}") for c in columns])
-    shuffled = slice_rows(values, ["_h", "_key"]).numbered("_i").select("_i", *[f"_perm_{c}" for c in columns])
-    return rows.join(shuffled, "_i").select(*df.columns, *[f"_perm_{c}" for c in columns])
+    """Add _perm_{column}: row i (by key) also carries the values of row feistel(i) (see ``feistel``)."""
+    numbered, n = _numbered(df, key)
+    return _permuted(numbered, n, columns, seed).select(*df.columns, *[f"_perm_{c}" for c in columns])
 
 
 def importance_permutation(
@@ -199,6 +245,8 @@ def importance_permutation(
 ) -> DataFrame:
     """Drop of R2 after shuffling each feature: (feature, importance, importance_std, importance_rank).
 
+    A shuffle is the keyed bijection ``feistel`` of row numbers (seed + repeat), so no repeat sorts rows.
+
     ``score(frame)`` adds the column 'prediction'; ``key`` must be unique. The mean and the population standard
     deviation are over ``repeats`` shuffles; a shuffle serves all features, which are scored in one
     pass: every row is repeated once per feature with that feature replaced.
@@ -208,8 +256,9 @@ def importance_permutation(
     r2 = 1 - F.try_divide(F.avg(e * e), F.var_pop(actual))
     base = score(base_rows).agg(r2).first()[0]
     found = []
+    numbered, n = _numbered(base_rows, key)  # rows are numbered once; each shuffle is one join on the numbers
     for turn in range(repeats):
-        rows = spill(with_permuted(base_rows, features, key, seed + turn), "permuted")
+        rows = spill(_permuted(numbered, n, features, seed + turn).drop("_i"), "permuted")
         shuffled = rows.withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in features])))
         swapped = shuffled.withColumns({c: F.when(F.col("_feature") == c, F.col(f"_perm_{c}")).otherwise(F.col(c)) for c in features})
         found += [(r["_feature"], base - r["r2"]) for r in score(swapped).groupBy("_feature").agg(r2.alias("r2")).collect()]

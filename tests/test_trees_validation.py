@@ -153,3 +153,13 @@ def test_forest_size_is_bounded_by_its_depth(spark):
     assert model.totalNumNodes <= 3 * (2 ** (trees.FOREST_DEPTH + 1) - 1)
     one = trees.fit_forest(df, "y", ["a"], trees=1, depth=1, bootstrap=False)
     assert one.totalNumNodes == 3  # a single split of all rows, as the SQL twin grows it
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 1000, 4097, 100003])
+def test_feistel_is_a_bijection(n):
+    for seed in (0, 42, 43):
+        out = validation.feistel(np.arange(n), n, seed)
+        assert sorted(out.tolist()) == list(range(n))
+    if n > 100:
+        moved = validation.feistel(np.arange(n), n, 42)
+        assert (moved != np.arange(n)).mean() > 0.99 and abs(np.corrcoef(moved, np.arange(n))[0, 1]) < 0.05
