@@ -74,8 +74,9 @@ def absolute(base: Column, link: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target): the canonical link and the refresh redirect that a page's html names."""
-    found = F.array(F.regexp_extract(F.col(html), CANONICAL, 1), F.regexp_extract(F.col(html), REFRESH, 1))
+    """(source, target): every canonical link and every refresh redirect that a page's html names."""
+    text = F.coalesce(F.col(html), F.lit(""))
+    found = F.concat(F.regexp_extract_all(text, F.lit(CANONICAL), 1), F.regexp_extract_all(text, F.lit(REFRESH), 1))
     links = pages.select(F.col(url).alias("source"), F.explode(found).alias("link")).where("link <> ''")
     return links.select("source", absolute(F.col("source"), F.col("link")).alias("target"))
 

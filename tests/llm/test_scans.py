@@ -245,3 +245,12 @@ def test_template_filters_lose_nothing(spark):
                 if share >= licenses.CONTAINMENT:
                     want.add((i, block, label, round(share, 9)))
     assert got == want and len(want) > 100
+
+
+def test_every_link_of_a_page_counts(spark):
+    from panelift.llm import urls
+
+    html = '<link rel="canonical" href="http://a.org/1"><link rel=canonical href="/2"><meta http-equiv="refresh" content="0;url=http://b.org/3">'
+    pages = spark.createDataFrame([(1, "http://x.org/p", html), (2, "http://y.org/q", None)], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in urls.page_links(pages).collect())
+    assert got == [("http://x.org/p", "http://a.org/1"), ("http://x.org/p", "http://b.org/3"), ("http://x.org/p", "http://x.org/2")]
