@@ -326,11 +326,11 @@ def written_reports(t: Tables):
     folder = scratch_path(t.spark, "reports")
     texts = nation_reports(t)
     for place, change in (("a", F.col("text")), ("b", F.regexp_replace("text", r'"rows":(\d+)', '"rows":1$1'))):
-        for r in texts.select("file", change.alias("text")).collect():  # one small file per region
-            t.spark.createDataFrame([(r.text,)], "value string").coalesce(1).write.text(f"{folder}/{place}/{r.file}")
+        # the tasks that hold the reports write them, one file each; nothing passes through the driver
+        reports.write_report_files(texts.select("file", change.alias("text")), f"{folder}/{place}")
     rows = t.spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     path = F.url_decode(F.col("_metadata.file_path"))
-    name = F.regexp_extract(path, r"/([^/]+\.json)/[^/]*$", 1)
+    name = F.regexp_extract(path, r"file_name=([^/]+)/[^/]*$", 1)
     return rows.select(name.alias("file"), path.alias("path"), F.col("value").alias("text"))
 
 
