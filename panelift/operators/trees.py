@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelift.functions.columns import label_encode
-from panelift.session import ensure_checkpoint_dir, scratch_path
+from panelift.session import ensure_checkpoint_dir, scratch_path, spill
 
 TREES = 200
 RATE = 0.05
@@ -215,6 +215,88 @@ def tree_shap(df: DataFrame, model, columns: Sequence[str], keep: Sequence[str],
     return wide.select(*keep, "base_value", F.inline(entries))
 
 
+TREES_PER_BLOCK, ROWS_PER_BLOCK = 25, 20_000
+
+
+def tree_shap_blocks(
+    df: DataFrame, model, columns: Sequence[str], keep: Sequence[str], normalize: bool = False,
+    trees_per_block: int = TREES_PER_BLOCK, rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """``tree_shap`` for ensembles of any size: the driver holds no node.
+
+    The saved model's nodes are read by Spark and each block of ``trees_per_block`` trees builds its own
+    explainer on an executor. Rows are packed in blocks of about ``rows_per_block``; every (tree block, row
+    block) pair meets in one join and one task, and the contributions of the tree blocks are added per row
+    (Shapley values of a sum of trees are the sums of theirs). Rows are copied once per tree block.
+    """
+    import pickle
+
+    spark = df.sparkSession
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
+        "treeID", "id", "prediction", "rawCount", "leftChild", "rightChild",
+        F.col("split.featureIndex").alias("feature"), F.col("split.leftCategoriesOrThreshold").alias("at"),
+        F.col("split.numCategories").alias("categories"),
+    )
+    weights = [float(w) for w in model.treeWeights]  # one number per tree
+    total = sum(weights) if normalize else 1.0
+    scaled = [w / total for w in weights]
+    names = list(columns)
+    width = len(names)
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        block = int(part["_tb"].iloc[0])
+        view = Attribution(part.drop(columns="_tb").sort_values(["treeID", "id"]), scaled, width)
+        return pd.DataFrame({"_tb": [block], "_explainer": [pickle.dumps(view)]})
+
+    tree_blocks = -(-len(weights) // trees_per_block)
+    explainers = nodes.withColumn("_tb", (F.col("treeID") / trees_per_block).cast("int")).groupBy("_tb").applyInPandas(build, "_tb int, _explainer binary")
+    slim = spill(df.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)]).withColumn("_rid", F.monotonically_increasing_id()), "shap_rows")
+    row_blocks = max(1, -(-slim.count() // rows_per_block))
+    packed = slim.select("_rid", F.array(*[F.col(f"_x{i}") for i in range(width)]).alias("_x"), F.pmod(F.xxhash64("_rid"), F.lit(row_blocks)).alias("_rb"))
+    packed = packed.withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(tree_blocks - 1)))).groupBy("_tb", "_rb").agg(F.collect_list(F.struct("_rid", "_x")).alias("_rows"))
+    copies = explainers.withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
+    met = packed.join(copies, ["_tb", "_rb"]).select("_rows", "_explainer")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows, blob in zip(batch["_rows"], batch["_explainer"]):
+                view = pickle.loads(blob)
+                ids = np.array([r["_rid"] for r in rows], np.int64)
+                x = np.array([list(r["_x"]) for r in rows], float).reshape(len(ids), width)
+                phi = view.explain(np.where(np.isnan(x), MISSING, x))
+                yield pd.DataFrame({"_rid": ids, "_phi": list(phi), "_base": view.base})
+
+    parts = met.mapInPandas(score, "_rid long, _phi array<double>, _base double")
+    added = F.aggregate(F.collect_list("_phi"), F.array_repeat(F.lit(0.0), width), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    merged = parts.groupBy("_rid").agg(added.alias("_phi"), F.sum("_base").alias("base_value"))
+    joined = slim.join(merged, "_rid")
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "_x array<double>", "_phi array<double>", "_position array<int>", "_total array<double>", "base_value double"])
+    by_name = np.argsort(np.argsort(names))
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[[f"_x{i}" for i in range(width)]].to_numpy(dtype=float)
+            phi = np.array([np.asarray(v, float) for v in batch["_phi"]]).reshape(len(batch), width)
+            base = batch["base_value"].to_numpy(float)
+            order = np.lexsort((np.broadcast_to(by_name, phi.shape), -np.abs(phi)), axis=1)
+            position, running = np.empty(order.shape, dtype=np.int32), np.empty(phi.shape)
+            np.put_along_axis(position, order, np.arange(1, width + 1, dtype=np.int32)[None, :], axis=1)
+            np.put_along_axis(running, order, base[:, None] + np.cumsum(np.take_along_axis(phi, order, axis=1), axis=1), axis=1)
+            out = batch[list(keep)].copy()
+            out["_x"], out["_phi"], out["_position"], out["_total"], out["base_value"] = list(x), list(phi), list(position), list(running), base
+            yield out
+
+    wide = joined.mapInPandas(ranked, schema)
+    entries = F.arrays_zip(
+        F.array(*[F.lit(c) for c in names]).alias("feature"), F.col("_x").alias("feature_value"), F.col("_phi").alias("contribution"),
+        F.col("_position").alias("position"), F.col("_total").alias("running_total"),
+    )
+    return wide.select(*keep, "base_value", F.inline(entries))
+
+
 def shap_importance(long: DataFrame) -> DataFrame:
     """Mean absolute contribution, rank, share, spread, sign counts and concentration per feature."""
     phi = F.col("contribution")

@@ -280,7 +280,7 @@ select l_orderkey, l_linenumber, l_partkey, {rd('b', 4, 'base_value')}, 'x' as f
 def _shap_stump(t: Tables):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("y"), F.when(F.col("l_orderkey") % 6 != 0, F.col("l_linenumber")).alias("x"))
     model = trees.fit_gbt(rows, "y", ["x"], trees=1, rate=1.0, depth=1)
-    out = trees.tree_shap(rows, model, ["x"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    out = trees.tree_shap_blocks(rows, model, ["x"], ["l_orderkey", "l_linenumber", "l_partkey"])
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "base_value", "feature", "contribution"), 4)
 
 

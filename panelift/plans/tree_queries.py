@@ -40,7 +40,7 @@ def fitted(t: Tables) -> tuple[DataFrame, object, list[str]]:
 
 def attributions(t: Tables) -> DataFrame:
     rows, model, columns = fitted(t)
-    return trees.tree_shap(rows, model, columns, [*KEYS, "prediction"])
+    return trees.tree_shap_blocks(rows, model, columns, [*KEYS, "prediction"])
 
 
 @query("gbt_fit")

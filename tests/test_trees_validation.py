@@ -163,3 +163,12 @@ def test_feistel_is_a_bijection(n):
     if n > 100:
         moved = validation.feistel(np.arange(n), n, 42)
         assert (moved != np.arange(n)).mean() > 0.99 and abs(np.corrcoef(moved, np.arange(n))[0, 1]) < 0.05
+
+
+def test_attributions_in_blocks_equal_the_whole(spark, fitted):
+    df, model = fitted
+    whole = trees.tree_shap(df, model, ["a", "b", "c"], ["k"]).orderBy("k", "feature").toPandas()
+    blocks = trees.tree_shap_blocks(df, model, ["a", "b", "c"], ["k"], trees_per_block=1, rows_per_block=70).orderBy("k", "feature").toPandas()
+    assert len(whole) == len(blocks) == 900
+    assert np.allclose(whole.contribution, blocks.contribution) and np.allclose(whole.base_value, blocks.base_value)
+    assert (whole.position.to_numpy() == blocks.position.to_numpy()).all() and np.allclose(whole.running_total, blocks.running_total)
