@@ -387,6 +387,16 @@ def _model_store_trees(t: Tables):
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") != F.col("after")).alias("differing"), F.lit(",".join(names)).alias("columns"))
 
 
+@query("model_store_stump", f"with {STUMP} select l_orderkey, l_linenumber, l_partkey, {rd('case when x <= v then low else high end', 4, 'prediction')} from rows, best")
+def _model_store_stump(t: Tables):
+    # a one-split model stored and loaded again must still give the split that SQL grows
+    folder = scratch_path(t.spark, "models")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("y"), F.when(F.col("l_orderkey") % 6 != 0, F.col("l_linenumber")).alias("x"))
+    tables.save_tree_model(trees.fit_gbt(rows, "y", ["x"], trees=1, rate=1.0, depth=1), ["x"], folder, "stump")
+    again, names = tables.load_tree_model(t.spark, folder, "stump")
+    return rounded(trees.predict_trees(rows, again, names).select("l_orderkey", "l_linenumber", "l_partkey", "prediction"), 4)
+
+
 # -- p-values by numeric integration of the t density
 
 SMALL = """small as (select c_nationkey, avg(o_totalprice) as y, cast(count(*) as double) as x1, avg(c_acctbal) as x2 from orders join customer on o_custkey = c_custkey group by c_nationkey)"""
