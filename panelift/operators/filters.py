@@ -80,16 +80,42 @@ def assert_flags(df: DataFrame, flags: Sequence[str], both: bool = True) -> None
 
 # Extra columns that a model needs besides target and features.
 MODEL_COLUMNS = {"did": ("treated", "post"), "synthetic_control": ("treated",), "psm": ("treated",)}
-
-
-def validation_report(df: DataFrame, target: str, features: Sequence[str], model: str | None = None) -> DataFrame:
-    """One row per check: (check_name, passed). The row count check reads at most five rows."""
+# Fixed values that must equal the reference's: the number of features each model accepts (least, most).
+FEATURE_LIMITS = {
+    "mlr": (1, 50),
+    "distributed_lag": (1, 20),
+    "ml_shap": (1, 500),
+    "did": (1, 10),
+    "var": (1, 6),
+    "synthetic_control": (1, 10),
+    "causal_impact": (1, 20),
+    "psm": (1, 20),
+    "forecast": (1, 10),
+}
+
+
+def feature_limits_ok(model: str | None, features: Sequence[str]) -> bool:
+    """Whether the number of features is within the model's limits; a model without limits accepts any."""
+    least, most = FEATURE_LIMITS.get(model or "", (0, float("inf")))
+    return least <= len(list(features)) <= most
+
+
+def validation_report(
+    df: DataFrame, target: str, features: Sequence[str], model: str | None = None, limits: bool = False
+) -> DataFrame:
+    """One row per check: (check_name, passed). The row count check reads at most five rows.
+
+    With ``limits`` a row ``feature_limits`` tells whether the number of features suits the model
+    (``FEATURE_LIMITS``).
+    """
     enough = df.select(F.lit(1)).limit(MINIMUM_ROWS).count() >= MINIMUM_ROWS
     present = all(c in df.columns for c in [target, *features])
     extra = all(c in df.columns for c in MODEL_COLUMNS.get(model or "", ()))
     rows = [("minimum_rows", enough), ("required_columns", present), ("model_columns", extra)]
+    if limits:
+        rows.append(("feature_limits", feature_limits_ok(model, features)))
     return df.sparkSession.createDataFrame(rows, "check_name string, passed boolean")
 
 
-def is_trainable(df: DataFrame, target: str, features: Sequence[str], model: str | None = None) -> bool:
-    return all(r["passed"] for r in validation_report(df, target, features, model).collect())
+def is_trainable(df: DataFrame, target: str, features: Sequence[str], model: str | None = None, limits: bool = False) -> bool:
+    return all(r["passed"] for r in validation_report(df, target, features, model, limits).collect())

@@ -116,3 +116,13 @@ def test_synthetic_control_needs_its_unit(spark):
 def test_constant_columns(spark):
     df = spark.createDataFrame([(1, 2, "x"), (1, 3, "x")], "a int, b int, c string")
     assert filters.drop_constant_columns(df).columns == ["b", "c"]
+
+
+def test_feature_limits(spark):
+    assert filters.feature_limits_ok("var", ["a", "b", "c"])
+    assert not filters.feature_limits_ok("var", [f"x{i}" for i in range(7)])
+    assert not filters.feature_limits_ok("did", [])
+    assert filters.feature_limits_ok("unknown", [f"x{i}" for i in range(1000)])
+    df = spark.createDataFrame([(float(i), float(i), 1, 1) for i in range(10)], "target double, f double, treated int, post int")
+    report = {r["check_name"]: r["passed"] for r in filters.validation_report(df, "target", ["f"] * 11, "did", limits=True).collect()}
+    assert report["feature_limits"] is False and filters.is_trainable(df, "target", ["f"], "did", limits=True)
