@@ -247,21 +247,32 @@ def importance_permutation(
 
     A shuffle is the keyed bijection ``feistel`` of row numbers (seed + repeat), so no repeat sorts rows.
 
-    ``score(frame)`` adds the column 'prediction'; ``key`` must be unique. The mean and the population standard
-    deviation are over ``repeats`` shuffles; a shuffle serves all features, which are scored in one
-    pass: every row is repeated once per feature with that feature replaced.
+    ``score(frame)`` adds the column 'prediction' and may use the features only; ``key`` must be unique. The mean and
+    the population standard deviation are over ``repeats`` shuffles; a shuffle serves all features: every row is
+    repeated once per feature with that feature replaced. Rows with the same features get one score, so they are
+    folded first; for tree models ``trees.with_bin_values`` makes many rows alike.
     """
     base_rows = df.select(*dict.fromkeys([key, actual, *features]))
-    e = F.col(actual) - F.col("prediction")
-    r2 = 1 - F.try_divide(F.avg(e * e), F.var_pop(actual))
-    base = score(base_rows).agg(r2).first()[0]
+    spread = base_rows.agg(F.var_pop(actual)).first()[0]
+
+    def r2(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        """1 - mean squared error / variance per ``by``, from the figures of rows with the same features."""
+        y = F.col(actual).cast("double")
+        alike = rows.groupBy(*by, *features).agg(F.count(y).cast("double").alias("_n"), F.avg(y).alias("_mean"), F.var_pop(y).alias("_var"))
+        off = F.col("_mean") - F.col("prediction")
+        total = F.when(F.col("prediction").isNotNull(), F.col("_n"))
+        errors = score(alike).groupBy(*by).agg(F.try_divide(F.sum(total * (F.col("_var") + off * off)), F.sum(total)).alias("_mse"))
+        return errors.select(*by, (1 - F.try_divide(F.col("_mse"), F.lit(spread).cast("double"))).alias("r2"))
+
+    base = r2(base_rows, []).first()[0]
     found = []
-    numbered, n = _numbered(base_rows, key)  # rows are numbered once; each shuffle is one join on the numbers
+    numbered, n = _numbered(base_rows.select(key, actual, *[c for c in features if c != actual]), key)  # rows are numbered once; each shuffle is one join on the numbers
+    numbered = numbered.drop(key)
     for turn in range(repeats):
-        rows = spill(_permuted(numbered, n, features, seed + turn).drop("_i"), "permuted")
-        shuffled = rows.withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in features])))
-        swapped = shuffled.withColumns({c: F.when(F.col("_feature") == c, F.col(f"_perm_{c}")).otherwise(F.col(c)) for c in features})
-        found += [(r["_feature"], base - r["r2"]) for r in score(swapped).groupBy("_feature").agg(r2.alias("r2")).collect()]
+        rows = _permuted(numbered, n, features, seed + turn).drop("_i")
+        swap = lambda f: F.struct(F.lit(f).alias("_feature"), *[F.col(f"_perm_{c}" if c == f else c).alias(c) for c in features])
+        swapped = rows.select(F.col(actual), F.explode(F.array(*[swap(f) for f in features])).alias("_s")).select(actual, "_s.*")
+        found += [(r["_feature"], base - r["r2"]) for r in r2(swapped, ["_feature"]).collect()]
     drops = df.sparkSession.createDataFrame(found, "feature string, importance double")
     table = drops.groupBy("feature").agg(F.avg("importance").alias("importance"), F.stddev_pop("importance").alias("importance_std"))
     # One row per feature.

@@ -73,7 +73,7 @@ def _importance_tree(t: Tables):
 @query("importance_permutation")
 def _importance_permutation(t: Tables):
     rows, model, columns = fitted(t)
-    keyed = rows.withColumn("key", F.concat_ws("-", *KEYS)).drop("prediction")
+    keyed = trees.with_bin_values(rows.withColumn("key", F.concat_ws("-", *KEYS)).drop("prediction"), model, columns)
     return validation.importance_permutation(keyed, TARGET, columns, "key", lambda frame: trees.predict_trees(frame, model, columns))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from panelift.operators import trees
+from panelift.operators import trees, validation
 
 COLUMNS = ["a", "b", "c"]
 
@@ -53,3 +53,24 @@ def test_attributions_of_copied_rows_and_gaps(spark, rows):
     assert long.count() == 4500 * 3 and long.where("feature = 'b' and feature_value is null").count() == long.where("feature = 'b' and k % 17 = 0").count()
     last = long.where("position = 3")
     assert last.count() == 4500 and last.where("not abs(running_total - prediction) < 1e-9").count() == 0
+
+
+def test_shuffles_score_rows_with_the_same_features_once(spark, rows):
+    model = trees.fit_gbt(rows, "y", COLUMNS, trees=3, rate=0.5, depth=3)
+    seen = []
+
+    def score(frame):
+        seen.append(frame.count())
+        return trees.predict_trees(frame, model, COLUMNS)
+
+    binned = trees.with_bin_values(rows, model, COLUMNS)
+    found = {r.feature: r for r in validation.importance_permutation(binned, "y", COLUMNS, "k", score, repeats=2).collect()}
+    assert max(seen) < 3000  # 12,000 rows without folding
+    plain = validation.with_permuted(rows, COLUMNS, "k", 42).where("y is not null").toPandas()
+    given = rows.where("y is not null").toPandas()
+    mse = lambda f: spark.createDataFrame(f.astype(float)).transform(lambda d: trees.predict_trees(d, model, COLUMNS)).agg(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0]
+    once = validation.importance_permutation(binned, "y", COLUMNS, "k", lambda f: trees.predict_trees(f, model, COLUMNS), repeats=1)
+    for r in once.collect():
+        swapped = plain[["y", *COLUMNS]].assign(**{r.feature: plain[f"_perm_{r.feature}"]})
+        assert r.importance == pytest.approx((mse(swapped) - mse(given[["y", *COLUMNS]])) / given.y.var(ddof=0), rel=1e-9)
+    assert found["a"].importance_rank == 1
