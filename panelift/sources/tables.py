@@ -105,7 +105,13 @@ def read_predictions(spark: SparkSession, folder: str, schema: str) -> DataFrame
         spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(folder)
         .withColumn("_path", F.col("_metadata.file_path"))
     )
-    name = F.regexp_extract("_path", r"([^/]+?)(?:_predictions)?\.csv(?:/[^/]*)?$", 1)
+    # the last folder if it ends in .csv, else the file: cut out by its borders, since a pattern is tried at every sign of every row's path
+    folder_name, file = F.substring_index(F.substring_index("_path", "/", -2), "/", 1), F.substring_index("_path", "/", -1)
+    ended = lambda c: c.endswith(".csv") & (F.length(c) > 4)
+    whole = F.when(ended(folder_name), folder_name).when(ended(file), file)
+    stem = F.substring(whole, F.lit(1), F.length(whole) - 4)
+    short = F.length(stem) - len("_predictions")
+    name = F.when(stem.endswith("_predictions") & (short > 0), F.substring(stem, F.lit(1), short)).otherwise(F.coalesce(stem, F.lit("")))
     return rows.withColumn("model", F.url_decode(name)).drop("_path")
 
 

@@ -6,6 +6,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from panelift.operators import trees, validation
+from panelift.sources.tables import read_predictions, write_predictions
 
 COLUMNS = ["a", "b", "c"]
 
@@ -74,3 +75,17 @@ def test_shuffles_score_rows_with_the_same_features_once(spark, rows):
         swapped = plain[["y", *COLUMNS]].assign(**{r.feature: plain[f"_perm_{r.feature}"]})
         assert r.importance == pytest.approx((mse(swapped) - mse(given[["y", *COLUMNS]])) / given.y.var(ddof=0), rel=1e-9)
     assert found["a"].importance_rank == 1
+
+
+def test_model_names_come_from_paths_without_a_pattern_per_row(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 2.0)], "k long, prediction double")
+    for model in ("Mlr", "a b_predictions", "x.csv"):
+        write_predictions(frame, str(tmp_path / "runs"), model)
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "alone_predictions.csv").write_text("k,prediction\n1,2.0\n")
+    (tmp_path / "plain" / "_x.csv").write_text("k,prediction\n1,2.0\n")
+    (tmp_path / "plain" / "bare.csv").write_text("k,prediction\n1,2.0\n")
+    names = lambda p: sorted(r.model for r in read_predictions(spark, str(p), "k long, prediction double").collect())
+    assert names(tmp_path / "runs") == ["Mlr", "a b_predictions", "x.csv"] and names(tmp_path / "plain") == ["alone", "bare"]
+    plan = read_predictions(spark, str(tmp_path / "runs"), "k long, prediction double")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
