@@ -34,7 +34,7 @@ def fitted(t: Tables) -> tuple[DataFrame, object, list[str]]:
     if key not in _FITTED:
         stored, columns = encoded(t)
         model = trees.fit_gbt(stored, TARGET, columns)
-        _FITTED[key] = (trees.predict_trees(stored, model, columns), model, columns)
+        _FITTED[key] = (trees.predict_by_bins(stored, model, columns), model, columns)
     return _FITTED[key]
 
 

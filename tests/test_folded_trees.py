@@ -32,6 +32,12 @@ def test_folded_fit_equals_the_fit_on_rows(spark, rows):
     assert mine.feature.tolist() == theirs.feature.tolist() and np.allclose(np.concatenate(list(mine["at"])), np.concatenate(list(theirs["at"])))
 
 
+def test_predictions_by_bins_equal_those_by_rows(spark, rows):
+    model = trees.fit_gbt(rows, "y", COLUMNS, trees=5, rate=0.3, depth=4)
+    whole = trees.predict_trees(trees.predict_by_bins(rows.unionAll(rows.limit(100)), model, COLUMNS, "p"), model, COLUMNS, "q")
+    assert whole.columns == [*rows.columns, "p", "q"] and whole.count() == 4100 and whole.where("not p <=> q").count() == 0
+
+
 def test_the_learner_sees_combinations_of_bins_not_rows(spark):
     few = spark.range(20_000).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), F.col("id").cast("double").alias("y"))
     cells, cuts = trees.fold(few, "y", ["a", "b"])
