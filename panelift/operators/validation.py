@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelift.operators.linear import fit_ols, linear_expression
 from panelift.operators.ordered import slice_rows
-from panelift.operators.trees import alike_rows, fit_forest, fit_gbt, predict_models_by_bins, training_rows
+from panelift.operators.trees import bin_cuts, fit_forest, fit_gbt, predict_models_by_bins, training_rows
 from panelift.session import spill
 
 TEST_SHARE = 0.2
@@ -90,14 +90,14 @@ def baseline_comparison(
 ) -> DataFrame:
     """Linear, forest and boosted models fitted on the training rows and scored together.
 
-    Both tree learners grow on the same folded rows, and each combination of bins is scored once for all its rows.
+    Both tree learners share the thresholds between bins, and each combination of bins is scored once for all its rows.
     """
     rows = spill(df.select(*dict.fromkeys([*segment, split, target, *features])).na.drop(subset=[target, *features]), "baselines")
     train = rows.filter(F.col(split) == "train")
     linear = fit_ols(train, target, features)
-    alike = alike_rows(training_rows(train, target, features), target, features)
-    forest = fit_forest(train, target, features, trees=forest_trees, alike=alike)
-    boosted = fit_gbt(train, target, features, trees=boosted_trees, rate=0.3, alike=alike)
+    cuts = bin_cuts(training_rows(train, target, features), features)
+    forest = fit_forest(train, target, features, trees=forest_trees, cuts=cuts)
+    boosted = fit_gbt(train, target, features, trees=boosted_trees, rate=0.3, cuts=cuts)
     scored = predict_models_by_bins(rows.withColumn("_linear", linear_expression(linear)), {"_forest": forest, "_boosted": boosted}, features)
     return split_metrics(scored, target, {"linear": "_linear", "random_forest": "_forest", "boosted_trees": "_boosted"}, len(features), split, segment)
 
